@@ -26,6 +26,12 @@ def op7_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brookframe.llm.line_rules import judge
+
+    return judge(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
