@@ -32,6 +32,12 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"))
 
 
+def op8_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brookframe.llm.secrets import digest, find_secrets
+
+    return digest(find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
