@@ -38,6 +38,12 @@ def op8_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op4_url_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brookframe.llm.url_lm import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
