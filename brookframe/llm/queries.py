@@ -44,6 +44,14 @@ def op4_url_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op6_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brookframe.llm.mil_quality import held_out, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
