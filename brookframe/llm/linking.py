@@ -57,7 +57,7 @@ def linked(scratch: Scratch, pairs: DataFrame, texts: DataFrame, k: int, percent
     different components. The result equals confirming every candidate.
     """
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = scratch.save(texts.join(needed, "id", "left_semi"))
+    texts = scratch.save(texts.join(needed.hint("merge"), "id", "left_semi"))  # ids of candidates grow with the corpus, so they are never broadcast
     asked = scratch.save(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = scratch.save(confirm(asked, texts, k, percent))
     named = components(links)
