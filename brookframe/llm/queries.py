@@ -58,12 +58,18 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brookframe.llm.line_templates import drop_recurring_lines
+
+    left = drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-SQL: dict[str, str] = {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from brookframe.llm import line_templates
+
+    return {"op2_line_templates": line_templates.SQL}
