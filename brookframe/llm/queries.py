@@ -65,6 +65,13 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brookframe.llm.brown_lm import held_out, score_texts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, docs.filter(~held_out())).withColumn("held_out", held_out())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
