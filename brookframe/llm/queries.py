@@ -72,6 +72,12 @@ def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, docs.filter(~held_out())).withColumn("held_out", held_out())
 
 
+def op5_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brookframe.llm.paragraphs import repeated_spans
+
+    return repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
