@@ -146,8 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> AttentionModel
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
-    """``docs`` with ``score`` (double; 0.5 if nothing is labelled). Only texts are inputs of a score; null texts count as empty, and empty ones get what the network says of an empty passage."""
+    """``docs`` with ``score`` (double; 0.5 if nothing is labelled). Only texts are inputs of a score; null texts count as empty, and empty ones get what the network says of an empty passage. A column named score is replaced."""
     model = fit(docs, labels, most)
+    docs = docs.drop("score")
 
     def run(batches):
         for batch in batches:

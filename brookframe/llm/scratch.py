@@ -24,6 +24,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 class Scratch:
     """Parquet tables that live until :meth:`close`; they survive the loss of executors.
 
