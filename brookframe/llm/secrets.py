@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from brookframe.llm.scratch import cut
 
-#: Kind, pattern, group whose length counts, least length; the order of kinds is that of ties.
+#: Kind, pattern, group whose length counts, least length; the order of kinds is that of ties. A run of
+#: hex digits or an access key is taken whole or not at all, so the least length of these is part of the pattern; a
+#: short assignment takes its place in the scan before it is dropped.
 KINDS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    ("access", r"AKIA[A-Z0-9]+", 0, 18),
-    ("hex", r"[0-9a-f]+", 0, 16),
+    ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
+    ("hex", r"(?<![0-9a-f])[0-9a-f]{16,}", 0, 16),
 ]
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 ALPHABETS = {
     "hex": string.digits + "abcdef",
     "base32": string.ascii_uppercase + "234567",
@@ -64,10 +66,9 @@ def matches(text: Column, pattern: str, group: int = 0, kind: int = 0) -> Column
 
 def base_spans(text: Column, kind: int) -> Column:
     """Spans of one of ``KINDS``; a match whose group is too short is dropped after it took its place in the scan."""
-    name, pattern, group, least = KINDS[kind]
+    _, pattern, group, least = KINDS[kind]
     found = F.filter(matches(text, pattern, group, kind), lambda s: F.char_length(s["token"]) >= least)
-    quick = pattern if name == "assign" else f"{pattern.removesuffix('+')}{{{least - 4 if name == 'access' else least},}}"
-    return F.when(text.rlike(quick), found).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
 def _upper_tail(z: Column) -> Column:
