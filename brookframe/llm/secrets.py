@@ -37,7 +37,7 @@ ALPHABETS = {
     "base64": string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/",
 }
 BANDS = (32, 48, 80)
-BINS = 20
+BINS = 100
 RATE = 0.05
 SPAN = "array<struct<start:int,kind:int,end:int,token:string>>"
 
