@@ -73,6 +73,25 @@ def test_near_copies_of_a_large_group_are_one_component(spark):
     assert got == brute_components(dict(rows), 5, 80)
 
 
+def test_pairs_in_a_crowd_that_shares_a_passage(spark):
+    """Hundreds of texts share half of their words; near copies among them are still found."""
+    rng = random.Random(9)
+
+    def own(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    rows = []
+    for g in range(400):
+        w = own(30) + [f"c{i}" for i in range(70)] + own(30)
+        rows.append((len(rows), " ".join(w)))
+        if g % 10 == 0:
+            w[rng.randrange(130)] = w[rng.randrange(130)] = "x"
+            rows.append((len(rows), " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(dict(rows), 5, 80)
+    assert sum(got[d] != want[d] for d in want) <= 1
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(100)]
