@@ -546,3 +546,18 @@ def exact_casts(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
     size, key = part.schema["p_size"].dataType, part.schema["p_partkey"].dataType
     return part.select("p_partkey", exact_cast(F.col("p_size").cast("double"), T.DoubleType(), T.ShortType()).alias("narrow"), exact_cast(F.col("p_size"), size, T.StringType()).alias("written"), exact_cast(F.col("p_partkey"), key, T.DecimalType(20, 0)).alias("wide"))
+
+
+ORDER = '{"type":"record","name":"event","fields":[{"name":"event_id","type":"int"},{"name":"event_type","type":"string"},{"name":"value","type":["null","double"]}]}'
+#: A reader with a wider id, and a field that writers don't have.
+WIDER = '{"type":"record","name":"event","fields":[{"name":"note","type":["null","string"],"default":null},{"name":"event_id","type":"long"},{"name":"value","type":["null","double"]}]}'
+
+
+@query(TOPIC + "SELECT CAST(NULL AS VARCHAR) AS note, event_id, nullif(value, 0) AS value, __partition FROM topic")
+def avro_evolved_roundtrip(spark, d):
+    """Written by one schema and read by another."""
+    from brookframe.operators.avro_rows import avro_decode, avro_encode
+
+    rows = select_columns(topic(spark, d), "event_id", "event_type", "value")
+    rows = with_derived(rows, Derived("event_id", F.col("event_id"), T.IntegerType()), Derived("value", F.nullif("value", F.lit(0.0)), T.DoubleType()))
+    return avro_decode(avro_encode(rows, ORDER, 7), WIDER, {7: ORDER}).select("note", "event_id", "value", "__partition")

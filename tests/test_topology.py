@@ -193,3 +193,22 @@ def test_streams(spark, tmp_path):
     query = joined.writeStream.format("memory").queryName("pairs").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert (5, 2) in {(r.left_amount, r.right_amount) for r in spark.table("pairs").collect()}
+
+
+def test_avro_schemas(spark):
+    import io
+    import json
+
+    from brookframe.operators.avro_rows import avro_decode, reader, spark_type, write
+
+    schema = json.loads("""{"type":"record","name":"n","fields":[{"name":"tags","type":{"type":"array","items":"string"}},{"name":"labels","type":{"type":"map","values":"long"}},
+      {"name":"color","type":{"type":"enum","name":"c","symbols":["RED","BLUE"]}},{"name":"sum","type":{"type":"fixed","name":"f","size":2}},{"name":"flag","type":"boolean"},{"name":"low","type":["null","int"]}]}""")
+    value = {"tags": ["a", "b"], "labels": [("x", -(1 << 60))], "color": "BLUE", "sum": b"ab", "flag": True, "low": -3}
+    out = io.BytesIO()
+    write(schema, value, out)
+    assert reader(schema)(io.BytesIO(out.getvalue())) == value
+    assert spark_type(schema).simpleString() == "struct<tags:array<string>,labels:map<string,bigint>,color:string,sum:binary,flag:boolean,low:int>"
+    with pytest.raises(ValueError, match="can't be read"):
+        reader("long", "string")
+    with pytest.raises(Exception, match="not known"):
+        avro_decode(spark.createDataFrame([(b"\0\0\0\0\1x",)], "value binary"), '{"type":"record","name":"r","fields":[]}', {}).collect()
