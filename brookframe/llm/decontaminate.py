@@ -20,22 +20,34 @@ BROADCAST_ROWS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def seeds(words: Column, masks: tuple[str, ...] = MASKS) -> Column:
-    """An array of (hash, at) of every window of every mask."""
+    """Hashes of every window, mask after mask; all masks are as long, so a hash's place modulo the windows of a mask is its window's."""
+    span = len(masks[0])
+    if any(len(m) != span or m[0] != "1" for m in masks):
+        raise ValueError("masks are of one length and start with 1")
 
     def of(number: int, mask: str) -> Column:
         ones = [i for i, c in enumerate(mask) if c == "1"]
-        hashes = F.transform(words, lambda w, i: F.struct(F.xxhash64(F.lit(number), w, *(F.get(words, i + o) for o in ones[1:])).alias("hash"), i.alias("at")))
-        return F.slice(hashes, F.lit(1), F.greatest(F.size(words) - len(mask) + 1, F.lit(0)))
+        hashes = F.transform(words, lambda w, i: F.xxhash64(F.lit(number), w, *(F.get(words, i + o) for o in ones[1:])))
+        return F.slice(hashes, F.lit(1), windows(words, masks))
 
-    if any(m[0] != "1" for m in masks):
-        raise ValueError("a mask starts with 1")
     return F.concat(*(of(k, m) for k, m in enumerate(masks)))
 
 
+def windows(words: Column, masks: tuple[str, ...] = MASKS) -> Column:
+    return F.greatest(F.size(words) - len(masks[0]) + 1, F.lit(0))
+
+
+def _placed(rows: DataFrame, words: str, masks: tuple[str, ...]) -> DataFrame:
+    """A row for each window: ``hash`` and ``_at``. The outer explode of a column computes the windows once per text and copies no text per window."""
+    listed = rows.withColumn("_seeds", seeds(F.col(words), masks)).withColumn("_each", windows(F.col(words), masks))
+    each = listed.select(*rows.columns, "_each", F.posexplode_outer("_seeds").alias("_pos", "hash"))
+    return each.select(*rows.columns, "hash", F.when(F.col("_each") > 0, F.col("_pos") % F.col("_each")).alias("_at"))
+
+
 def agreement(words: Column, item: Column, shift: Column) -> Column:
     """A struct of ``matched`` (tokens of the item that agree when it starts at ``shift``) and ``densest`` (most in any window)."""
     same = F.transform(item, lambda t, i: F.when((i + shift >= 0) & F.coalesce(F.get(words, i + shift) == t, F.lit(False)), 1).otherwise(0))
@@ -57,17 +69,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     Other columns are ignored.
     """
     items = benchmark.select("item_id", tokens(F.col("text")).alias("_item")).filter(F.size("_item") >= min(map(len, masks)))
-    keys = items.select("item_id", "_item", F.explode(seeds(F.col("_item"), masks)).alias("s")).select("item_id", "_item", F.col("s.hash").alias("hash"), F.col("s.at").alias("_in_item")).distinct()
+    keys = _placed(items, "_item", masks).withColumnRenamed("_at", "_in_item").distinct()
     read = docs.select("doc_id", tokens(F.col("text")).alias("_words"))
-    windows = read.select("doc_id", "_words", F.explode(seeds(F.col("_words"), masks)).alias("s")).select("doc_id", "_words", F.col("s.hash").alias("hash"), F.col("s.at").alias("_at"))
+    placed = _placed(read, "_words", masks)
     shift = (F.col("_at") - F.col("_in_item")).alias("start")
     if keys.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        met = windows.join(F.broadcast(keys), "hash").select("doc_id", "_words", "item_id", "_item", shift)
+        met = placed.join(F.broadcast(keys), "hash").select("doc_id", "_words", "item_id", "_item", shift)
     else:
-        met = windows.drop("_words").join(keys.drop("_item"), "hash").select("doc_id", "item_id", shift).distinct()
+        met = placed.drop("_words").join(keys.drop("_item"), "hash").select("doc_id", "item_id", shift).distinct()
         met = met.join(read, "doc_id").join(items, "item_id")
     found = met.select("doc_id", "item_id", "start", F.size("_item").alias("n_tokens"), agreement(F.col("_words"), F.col("_item"), F.col("start")).alias("a"))
-    enough = (F.col("a.matched") >= F.greatest(F.col("n_tokens") * share, F.least(F.lit(least), F.col("n_tokens")))) | (F.col("a.densest") >= WINDOW - 1)
     best = F.max(F.struct("a.matched", "a.densest", (-F.col("start")).alias("back"), "n_tokens")).alias("b")
-    pairs = found.filter(enough).groupBy("doc_id", "item_id").agg(best)
-    return pairs.select("doc_id", "item_id", (-F.col("b.back")).alias("start"), "b.matched", "b.densest", "b.n_tokens")
+    # judged after grouping: as a condition of the join it would keep the join out of generated code
+    pairs = found.groupBy("doc_id", "item_id").agg(best, F.max("a.densest").alias("densest"))
+    enough = (F.col("b.matched") >= F.greatest(F.col("b.n_tokens") * share, F.least(F.lit(least), F.col("b.n_tokens")))) | (F.col("densest") >= WINDOW - 1)
+    return pairs.filter(enough).select("doc_id", "item_id", (-F.col("b.back")).alias("start"), "b.matched", "densest", "b.n_tokens")
