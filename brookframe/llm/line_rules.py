@@ -89,7 +89,7 @@ def clean_lines(docs: DataFrame, share: float = KEPT_SHARE) -> DataFrame:
 
 
 def judge(docs: DataFrame, share: float = KEPT_SHARE, least_words: int = 10, most_repeats: int = 20, window: int = 5) -> DataFrame:
-    """``doc_id``, the counts, ``base_failed``, ``n_removed_chars`` and ``kept`` of each row of ``docs``.
+    """``doc_id``, the counts, ``base_failed``, ``kept`` and ``n_removed_chars`` of each row of ``docs``.
 
     Null, empty and blank texts have no words and fail; equal rows get equal answers; other columns are ignored.
     """
@@ -98,4 +98,4 @@ def judge(docs: DataFrame, share: float = KEPT_SHARE, least_words: int = 10, mos
     failed = (n < least_words) | (100 * F.col("_n_repeat_words") > most_repeats * n)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     removed = F.char_length(F.coalesce(F.col("text"), F.lit(""))) - F.char_length("cleaned")
-    return counted.select("doc_id", *(F.col(f"_{x}").alias(x) for x in names), failed.alias("base_failed"), removed.cast("long").alias("n_removed_chars"), (~failed & F.col("_passed")).alias("kept"))
+    return counted.select("doc_id", *(F.col(f"_{x}").alias(x) for x in names), failed.alias("base_failed"), (~failed & F.col("_passed")).alias("kept"), removed.cast("long").alias("n_removed_chars"))

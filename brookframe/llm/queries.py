@@ -69,7 +69,8 @@ def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brookframe.llm.brown_lm import held_out, score_texts
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_texts(docs, docs.filter(~held_out())).withColumn("held_out", held_out())
+    scored = score_texts(docs, docs.filter(~held_out()))
+    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op5_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
