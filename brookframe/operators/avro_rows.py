@@ -206,3 +206,19 @@ def avro_decode(records: DataFrame, schema: str, writers: dict[int, str]) -> Dat
             yield pa.RecordBatch.from_arrays([*rows, *(batch.column(c) for c in rest)], [*arrow.names, *rest])
 
     return records.mapInArrow(run, T.StructType([*columns.fields, *(records.schema[c] for c in rest)]))
+
+
+def compatible(new: str, old: str, mode: str = "backward") -> bool:
+    """Whether values of ``old`` can be read by ``new`` (backward), the other way round (forward), or both (full)."""
+
+    def reads(target: str, writer: str) -> bool:
+        try:
+            reader(json.loads(writer), json.loads(target))
+        except (ValueError, KeyError):
+            return False
+        return True
+
+    checks = {"backward": [(new, old)], "forward": [(old, new)], "full": [(new, old), (old, new)]}
+    if mode not in checks:
+        raise ValueError(f"unknown mode {mode}")
+    return all(reads(*pair) for pair in checks[mode])

@@ -48,6 +48,10 @@ class Topology:
         """Any function from DataFrame to DataFrame."""
         return self._add(Node(name, "operator", (parent,), step))
 
+    def process(self, name: str, parent: Node, function: Callable, schema) -> Node:
+        """A function over Arrow batches that yields any number of batches for each (none drops it)."""
+        return self.apply(name, parent, lambda df: df.mapInArrow(function, schema))
+
     def filter(self, name: str, parent: Node, predicate: Column) -> Node:
         return self.apply(name, parent, lambda df: rows.filter_rows(df, predicate))
 

@@ -212,3 +212,47 @@ def test_avro_schemas(spark):
         reader("long", "string")
     with pytest.raises(Exception, match="not known"):
         avro_decode(spark.createDataFrame([(b"\0\0\0\0\1x",)], "value binary"), '{"type":"record","name":"r","fields":[]}', {}).collect()
+
+
+def test_avro_compatibility():
+    from brookframe.operators.avro_rows import compatible
+
+    def record(*fields):
+        return '{"type":"record","name":"r","fields":[' + ",".join(fields) + "]}"
+
+    a, wide, text = ('{"name":"a","type":"%s"}' % t for t in ("int", "long", "string"))
+    note = '{"name":"note","type":["null","string"],"default":null}'
+    assert compatible(record(a, note), record(a), "full")
+    assert compatible(record(wide), record(a)) and not compatible(record(wide), record(a), "forward")
+    assert not compatible(record(text), record(wide), "backward")
+    with pytest.raises(ValueError, match="mode"):
+        compatible(record(a), record(a), "sideways")
+
+
+def test_processors(spark, tmp_path):
+    import pandas as pd
+
+    from brookframe.streaming.stateful import process_by_partition
+
+    def twice(batches):
+        for b in batches:
+            yield b
+            yield b
+
+    t = Topology()
+    t.sink("out", t.process("twice", t.source("s", ["in"]), twice, SCHEMA), "out")
+    assert t.run({"in": basic(spark)})["out"].count() == 6
+    for i in range(2):
+        rows(spark, ("a", 5 + i, 1, 0, i, i), ("a", 1, 1, 1, i, i)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = stream_topic(spark, f"{tmp_path}/in", basic(spark).schema)
+
+    def total(state, batch):
+        now = (state[0] if state else 0) + int(batch.amount.sum())
+        return (now,), pd.DataFrame({"p": [int(batch["__partition"].iloc[0])], "total": [now]})
+
+    query = process_by_partition(stream, total, "p int, total long", "total long").writeStream.format("memory").queryName("totals").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    best = {}
+    for r in spark.table("totals").collect():
+        best[r.p] = max(best.get(r.p, 0), r.total)
+    assert best == {0: 11, 1: 2}
