@@ -92,6 +92,32 @@ def test_pairs_in_a_crowd_that_shares_a_passage(spark):
     assert sum(got[d] != want[d] for d in want) <= 1
 
 
+def test_links_in_a_crowd_just_below_the_threshold(spark):
+    """Texts that share a region with hundreds of others are compared with all of them, over several blocks too."""
+    rng = random.Random(12)
+
+    def own(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    rows = []
+    for g in range(300):
+        w = [f"c{i}" for i in range(150)] + own(22)
+        rows.append(" ".join(w))
+        if g % 5 == 0:
+            rows.append(" ".join(w[:-16] + own(16)))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_components(dict(rows), 5, 80)
+    sizes = collections.Counter(c for _, c in want.values())
+    assert collections.Counter(sizes.values()) == {1: 240, 2: 60}
+    for side in (lsh_forest.SIDE, 64):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(lsh_forest, "SIDE", side)
+            got = {r.doc_id: (r.n_shingles, r.component_id) for r in lsh_forest.near_duplicates(df).collect()}
+        assert got == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(100)]
