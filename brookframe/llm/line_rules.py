@@ -15,7 +15,7 @@ SYMBOLS = "[^#*$%&|<>]+"
 BOILERPLATE = r"(?i)\b(all rights reserved|licen[sc]ed under|released under the|general public license|cookie policy|privacy policy|terms of (use|service)|subscribe to|sign up|log ?in|click here|read more|share (this|on)|back to top|copyright|skip to content)\b"
 #: A document keeps at least this share of its characters, or it is rejected.
 KEPT_SHARE = 0.5
-#: Losing fewer characters than this (a licence line, say) rejects no document.
+#: Losing fewer characters than this (a licence line, say) rejects no document that has enough words left.
 LEAST_LOST = 100
 
 
@@ -78,14 +78,18 @@ def failed_line(line: Column) -> Column:
     )
 
 
-def clean_lines(docs: DataFrame, share: float = KEPT_SHARE) -> DataFrame:
-    """Adds ``cleaned`` (the text without lines that fail), ``_lost`` (share of non-blank characters removed) and ``_passed``."""
+def clean_lines(docs: DataFrame, share: float = KEPT_SHARE, least_words: int = 10) -> DataFrame:
+    """Adds ``cleaned`` (the text without lines that fail), ``_lost`` (share of characters removed) and ``_passed``.
+
+    A document of which fewer than ``least_words`` words are left doesn't pass, however little it lost.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("_kept_lines", F.filter(F.split(text, "\n"), lambda x: ~failed_line(x)))
     out = out.withColumn("cleaned", F.array_join("_kept_lines", "\n")).drop("_kept_lines")
     size, left = F.char_length(text), F.char_length("cleaned")
     out = out.withColumn("_lost", F.when(size > 0, 1 - left / size).otherwise(F.lit(0.0)))
-    return out.withColumn("_passed", (F.col("_lost") <= 1 - share) | (size - left < LEAST_LOST))
+    enough = F.regexp_count("cleaned", F.lit(r"[^\x20\x09-\x0D]+")) >= least_words
+    return out.withColumn("_passed", enough & ((F.col("_lost") <= 1 - share) | (size - left < LEAST_LOST)))
 
 
 def judge(docs: DataFrame, share: float = KEPT_SHARE, least_words: int = 10, most_repeats: int = 20, window: int = 5) -> DataFrame:
@@ -93,7 +97,7 @@ def judge(docs: DataFrame, share: float = KEPT_SHARE, least_words: int = 10, mos
 
     Null, empty and blank texts have no words and fail; equal rows get equal answers; other columns are ignored.
     """
-    counted = clean_lines(text_counts(docs.select("doc_id", "text"), window), share)
+    counted = clean_lines(text_counts(docs.select("doc_id", "text"), window), share, least_words)
     n = F.col("_n_words")
     failed = (n < least_words) | (100 * F.col("_n_repeat_words") > most_repeats * n)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -123,6 +123,14 @@ def test_line_rules(docs):
     assert not line_rules.judge(docs.limit(0)).collect()
 
 
+def test_line_rules_reject_short_documents_without_words_left(spark):
+    bar = "Home | News | Sport | Weather | Shop | Help | About | Jobs"
+    rows = [(1, bar), (2, f"{bar}\nonly four words stay"), (3, f"All rights reserved, see the terms\n{TEXT[:60]} and more"), (4, TEXT)]
+    out = {r.doc_id: r for r in line_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in out.values()) and all(r.n_removed_chars < 100 for r in out.values())
+    assert {d: r.kept for d, r in out.items()} == {1: False, 2: False, 3: True, 4: True}
+
+
 def test_pipeline_stages(spark, sf, docs, tmp_path):
     table = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for start in (table, table.limit(0)):
