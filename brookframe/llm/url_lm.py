@@ -3,7 +3,7 @@
 The URLs that rules allow and block train one variable-order Markov model each: the probability of a character after
 its last ``ORDER`` characters is interpolated down to shorter contexts, each order weighing in by how many different
 characters followed its context (Witten-Bell). A URL without a rule is judged by the difference of the two
-log-likelihoods over its length, against the cut that separates the training URLs best.
+log-likelihoods over its whole length, query and fragment too, against the cut that separates the training URLs best.
 
 Counts are kept by distinct gram, so what is joined grows with the number of different grams, not with the URLs.
 """
@@ -86,19 +86,28 @@ def calibrated(scores: DataFrame) -> float | None:
     return at
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
-    """``page_id, host, path, rule, verdict, score`` of each row of ``pages`` (``page_id``, ``url``; more columns are ignored).
-
-    Where no rule fits, a score of at least the calibrated cut allows; if the rules give only one class or none, there
-    is nothing to compare and all such URLs are allowed.
-    """
-    rows = ruled(parsed(pages.select("page_id", "url")), rules).withColumn("text", F.concat("host", "path"))
+def ratios(rows: DataFrame) -> tuple[DataFrame, float | None]:
+    """``text, score`` of each different text of ``rows`` (``text``, ``ruled``) by the models of the ruled ones, and the calibrated cut."""
     texts = cut(rows.groupBy("text", "ruled").agg(F.count("*").alias("n")))
     each = texts.select("text", "ruled", "n", F.explode(_grams(F.col("text"))).alias("gram"))
     counted = cut(each.groupBy("gram").agg(*(F.sum(F.when(F.col("ruled") == c, F.col("n")).otherwise(0)).alias(c) for c in ("allow", "block"))))
     model = cut(_model(counted))
     grams = texts.select("text").distinct().select("text", F.explode(_grams(F.col("text"))).alias("gram"))
     scores = cut(grams.join(model, "gram").groupBy("text").agg(F.avg("ratio").alias("score")))
-    at = calibrated(texts.join(scores, "text"))
-    own = F.lit("allow") if at is None else F.when(F.col("score") >= at, "allow").otherwise("block")
-    return rows.join(scores, "text").select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")
+    return scores, calibrated(texts.join(scores, "text"))
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
+    """``page_id, host, path, rule, verdict, score, url_score`` of each row of ``pages`` (``page_id``, ``url``; more columns are ignored).
+
+    Where no rule fits, a ``url_score`` (over the whole URL, query and fragment too; a null one is empty) of at least
+    the calibrated cut allows; if the rules give only one class or none, there is nothing to compare and all such URLs
+    are allowed. ``score`` is the same ratio over host and path alone and decides nothing.
+    """
+    rows = ruled(parsed(pages.select("page_id", "url")), rules)
+    rows = rows.withColumn("site", F.concat("host", "path")).withColumn("whole", F.coalesce("url", F.lit("")))
+    site, _ = ratios(rows.select(F.col("site").alias("text"), "ruled"))
+    whole, at = ratios(rows.select(F.col("whole").alias("text"), "ruled"))
+    own = F.lit("allow") if at is None else F.when(F.col("url_score") >= at, "allow").otherwise("block")
+    out = rows.join(site.withColumnRenamed("text", "site"), "site").join(whole.select(F.col("text").alias("whole"), F.col("score").alias("url_score")), "whole")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score", "url_score")

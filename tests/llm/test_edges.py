@@ -131,6 +131,15 @@ def test_line_rules_reject_short_documents_without_words_left(spark):
     assert {d: r.kept for d, r in out.items()} == {1: False, 2: False, 3: True, 4: True}
 
 
+def test_urls_are_judged_by_query_and_fragment_too(spark):
+    urls = [f"http://a.net/p{i % 3}?casino=win{i % 4}" for i in range(40)] + [f"http://a.example.net/en/p{i % 3}?page=doc{i % 4}" for i in range(40)]
+    urls += ["http://a.example.net/en/p1?casino=win1"]  # between the classes, so that the cut is
+    urls += ["http://b.io/p1?casino=win1", "http://b.io/p1?page=doc1", "casino=win2", "page=doc2", "http://b.io/p1#casino=win3", "http://b.io/p1#page=doc3"]
+    rows = {r.page_id: r for r in url_lm.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [rows[i].verdict for i in range(81, 85)] == ["block", "allow"] * 2
+    assert rows[85].score == rows[86].score and rows[85].url_score < rows[86].url_score
+
+
 def test_pipeline_stages(spark, sf, docs, tmp_path):
     table = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for start in (table, table.limit(0)):
