@@ -27,7 +27,7 @@ from brookframe.llm.scratch import Scratch, cut
 from brookframe.llm.words import Words, _BACK, _BASE, _power, blocks, mix
 
 REACH, LONGEST_PIECE, LONG, LEAST_WORDS = 3, 64, 20, 20
-SHINGLE, PERCENT, RECALL, MOST_BANDS = 5, 80, 0.999, 20
+SHINGLE, PERCENT, RECALL, MOST_BANDS = 5, 80, 0.995, 12
 LEFT, RIGHT = 0, 1
 
 
@@ -147,11 +147,12 @@ def _paragraph_texts(docs: DataFrame) -> DataFrame:
 def band_components(docs: DataFrame, long: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """``id, component`` of the paragraphs ``long`` (``unit, doc_id, bands``) that bands bring together and that are confirmed as similar."""
     one = scratch.save(long.groupBy("unit").agg(F.min(F.struct("doc_id", "bands")).alias("u")).select("unit", "u.doc_id", "u.bands"))
-    each = one.select(F.col("unit").alias("id"), "bands", F.posexplode("bands").alias("at", "bucket"))
-    each = each.select("bucket", F.get("bands", (F.col("at") + 1) % F.size("bands")).alias("label"), "id")
+    each = one.select(F.explode("bands").alias("bucket"), F.col("unit").alias("id"))
     sizes = each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = scratch.save(each.join(sizes.hint("merge"), "bucket"))
-    ids = scratch.save(members.select("id").distinct())
+    shared = scratch.save(each.join(sizes.hint("merge"), "bucket"))
+    ids = scratch.save(shared.select("id").distinct())
+    later = F.get("bands", F.array_position("bands", F.col("bucket")).cast("int") % F.size("bands"))
+    members = scratch.save(shared.join(one.select(F.col("unit").alias("id"), "bands").hint("merge"), "id").select("bucket", later.alias("label"), "id", "n"))
     holders = one.join(ids.select(F.col("id").alias("unit")).hint("merge"), "unit", "left_semi").select("doc_id").distinct()
     texts = _paragraph_texts(docs.join(holders.hint("merge"), "doc_id", "left_semi"))
     texts = scratch.save(texts.join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
@@ -159,10 +160,10 @@ def band_components(docs: DataFrame, long: DataFrame, scratch: Scratch, percent:
     return exhausted(scratch, members, linked(scratch, pairs, texts, SHINGLE, percent), texts, SHINGLE, percent)
 
 
-def _in_two_documents(kind: DataFrame) -> DataFrame:
-    """``kind`` with ``kept_doc`` and ``removed``, less the units of one document only."""
+def _in_two_documents(kind: DataFrame, scratch: Scratch) -> DataFrame:
+    """``kind`` with ``kept_doc``, ``kept_start`` and ``removed``, less the units of one document only."""
     clusters = kind.groupBy("unit").agg(F.min("doc_id").alias("kept_doc"), F.max("doc_id").alias("last")).filter("kept_doc <> last").select("unit", "kept_doc")
-    hits = kind.join(clusters.hint("merge"), "unit")
+    hits = scratch.save(kind.join(clusters.hint("merge"), "unit"))
     first = hits.filter("doc_id = kept_doc").groupBy("unit").agg(F.min("start").alias("kept_start"))
     return hits.join(first.hint("merge"), "unit").withColumn("removed", (F.col("doc_id") != F.col("kept_doc")) | (F.col("start") != F.col("kept_start")))
 
@@ -255,8 +256,8 @@ def repeated_spans(docs: DataFrame, percent: int = PERCENT, least_words: int = L
         long = every.filter("bands is not null")
         named = band_components(docs, long.select("unit", "doc_id", "bands"), scratch, percent)
         near = long.select("doc_id", "start", "n", "unit").join(named.select(F.col("id").alias("unit"), "component").hint("merge"), "unit", "left")
-        near = _in_two_documents(near.select("doc_id", "start", "n", F.coalesce("component", "unit").alias("unit")))
-        plain = scratch.save(_in_two_documents(every.filter("bands is null").drop("bands")))
+        near = _in_two_documents(near.select("doc_id", "start", "n", F.coalesce("component", "unit").alias("unit")), scratch)
+        plain = _in_two_documents(every.filter("bands is null").drop("bands"), scratch)
         found = _moved_out(docs, plain, scratch, least_words).withColumn("by_bands", F.lit(False))
         found = found.unionByName(near.select("doc_id", "start", "n", "kept_doc", "removed", F.lit(True).alias("by_bands")))
         spans = _chained(found).groupBy("doc_id", "removed", "chain").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.min("kept_doc").alias("kept_doc"), F.max("by_bands").alias("by_bands"))
