@@ -393,23 +393,58 @@ def test_templates_with_fields_go_and_copies_stay(spark):
     assert all(out[100 + i].text == copy for i in range(20))
 
 
-def test_op1_finds_whole_and_altered_items(spark, sf, docs, con):
+def tokens_of(text):
+    return [x for x in re.split(r"[^\w]|_", (text or "").lower()) if x]
+
+
+def brute_contaminated(docs, items):
+    """Every way to lay every item on every document."""
+    number, found = {None: 0}, {}
+    ids = {i: np.array([number.setdefault(x, len(number)) for x in tokens_of(t)]) for i, t in items.items()}
+    for d, text in docs.items():
+        w = np.array([number.get(x, -1) for x in tokens_of(text)], int)
+        for item, x in ids.items():
+            if len(x) < 4:
+                continue
+            n = np.zeros(len(w) + len(x), int)
+            for j, y in enumerate(x):
+                n[np.flatnonzero(w == y) - j + len(x)] += 1
+            enough = max(decontaminate.SHARE * len(x), min(decontaminate.LEAST, len(x)))
+            dense = False
+            for at in np.flatnonzero(n >= decontaminate.WINDOW - 1):
+                same = [0 <= j + at - len(x) < len(w) and w[j + at - len(x)] == y for j, y in enumerate(x)]
+                dense |= max(sum(same[k : k + decontaminate.WINDOW]) for k in range(max(1, len(x) - decontaminate.WINDOW + 1))) >= decontaminate.WINDOW - 1
+            if n.max() >= enough or dense:
+                found[d, item] = int(n.max())
+    return found
+
+
+def test_op1_equals_brute_force(spark, sf, docs, con):
     items = dict(con.execute("SELECT item_id, text FROM benchmark").fetchall())
-    pairs = {(r.doc_id, r.item_id) for r in Q["op1_spaced_seeds"](spark, sf).collect()}
-    assert {(d, i) for d, t in docs.items() for i, x in items.items() if x and x in (t or "")} <= pairs
+    got = {(r.doc_id, r.item_id): r.matched for r in Q["op1_spaced_seeds"](spark, sf).collect()}
+    assert got == brute_contaminated(docs, items)
+    assert {(d, i) for d, t in docs.items() for i, x in items.items() if x and x in (t or "")} <= set(got)
+
+
+def test_altered_items_are_found_on_both_ways_of_joining(spark):
     rng = random.Random(6)
-    rows, want = [], set()
-    for n, (i, x) in enumerate(sorted(items.items())):
-        w = x.split()
-        for _ in range(max(1, len(w) // 12)):
-            w[rng.randrange(len(w))] = "changed"
-        rows.append((n, " ".join(f"q{rng.randrange(999)}" for _ in range(30)) + " " + " ".join(w) + " tail of it"))
-        want.add((n, i))
-    rows += [(1000 + n, " ".join(f"q{rng.randrange(999)}" for _ in range(80))) for n in range(40)]
-    altered = spark.createDataFrame(rows, "doc_id long, text string")
-    for most in (10**6, 0):
-        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(altered, spark.read.parquet(f"{sf}/benchmark.parquet"), broadcast_rows=most).collect()}
-        assert len(got & want) >= 0.9 * len(want) and not {d for d, _ in got if d >= 1000}
+    items = {i: " ".join(f"b{rng.randrange(3000)}" for _ in range((8, 12, 15, 38, 60)[i % 5])) for i in range(60)}
+    rows, replaced = [], [lambda k: k % 3 == 0, lambda k: k % 4 == 0, lambda k: k % 5 in (1, 3), lambda k: k % 5 in (3, 4), lambda k: rng.random() < 0.2, lambda k: rng.random() < 0.3, lambda k: False]
+    for n, (i, x) in enumerate(items.items()):
+        for rule in replaced:
+            w = ["changed" if rule(k) else y for k, y in enumerate(x.split())]
+            rows.append((len(rows), " ".join(f"q{rng.randrange(999)}" for _ in range(30)) + " " + " ".join(w) + " tail of it"))
+    rows += [(10_000 + n, " ".join(f"q{rng.randrange(999)}" for _ in range(80))) for n in range(40)]
+    rows += [(None, items[4])]
+    want = brute_contaminated(dict(rows), items)
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    answers = []
+    for most in (1 << 30, 0):
+        got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), table, broadcast_bytes=most).collect()}
+        assert not {d for d, _ in got if d is not None and d >= 10_000} and (None, 4) in got
+        assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
+        answers.append(got)
+    assert answers[0] == answers[1]
 
 
 def test_op5_finds_repeated_passages(spark, sf, docs):
