@@ -3,7 +3,9 @@
 The URLs that rules allow and block train one variable-order Markov model each: the probability of a character after
 its last ``ORDER`` characters is interpolated down to shorter contexts, each order weighing in by how many different
 characters followed its context (Witten-Bell). A URL without a rule is judged by the difference of the two
-log-likelihoods over its whole length, query and fragment too, against the cut that separates the training URLs best.
+log-likelihoods over its whole length, query and fragment too, against a cut. The cut is the one that separates held-out
+training URLs (a fifth, by a hash of the URL) best by models that haven't seen them; only if these lack a class is it
+found on all training URLs.
 
 Counts are kept by distinct gram, so what is joined grows with the number of different grams, not with the URLs.
 """
@@ -20,6 +22,9 @@ from brookframe.llm.scratch import cut
 #: Verdict and rule (host and path).
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 ORDER = 4
+#: One training URL of so many, by a hash, is held out for the cut.
+FOLDS = 5
+CLASSES = ("allow", "block", "allow_fit", "block_fit")
 #: Characters of the models: lower-case letters, 0 for any digit, a few signs, ~ for all else, and the end.
 ALPHABET = string.ascii_lowercase + "0./-_?=&%:+~$"
 _STEP, _FAR = 0.01, 8.0
@@ -53,9 +58,9 @@ def _grams(text: Column) -> Column:
 
 
 def _model(grams: DataFrame) -> DataFrame:
-    """``gram, ratio`` from ``gram, allow, block`` (training counts): log10 of the two models' probabilities' ratio."""
+    """``gram, ratio, ratio_fit`` from ``gram`` and training counts (``CLASSES``): log10 of the two models' probabilities' ratio, learned from all and from what isn't held out."""
     out = grams
-    p = {c: F.lit(1 / len(ALPHABET)) for c in ("allow", "block")}
+    p = {c: F.lit(1 / len(ALPHABET)) for c in CLASSES}
     for m in range(ORDER + 1):
         key, context = F.substring("gram", ORDER - m + 1, m + 1), F.substring("gram", ORDER - m + 1, m)
         keys = grams.groupBy(key.alias(f"k{m}"), context.alias(f"c{m}")).agg(*(F.sum(c).alias(f"{c}{m}") for c in p))
@@ -66,7 +71,7 @@ def _model(grams: DataFrame) -> DataFrame:
             p[c] = F.when(seen > 0, (F.col(f"{c}{m}") + different * p[c]) / (seen + different)).otherwise(p[c])
         out = out.select("gram", *(v.alias(f"p_{c}") for c, v in p.items()))
         p = {c: F.col(f"p_{c}") for c in p}
-    return out.select("gram", F.log10(F.col("p_allow") / F.col("p_block")).alias("ratio"))
+    return out.select("gram", F.log10(F.col("p_allow") / F.col("p_block")).alias("ratio"), F.log10(F.col("p_allow_fit") / F.col("p_block_fit")).alias("ratio_fit"))
 
 
 def calibrated(scores: DataFrame) -> float | None:
@@ -88,13 +93,22 @@ def calibrated(scores: DataFrame) -> float | None:
 
 def ratios(rows: DataFrame) -> tuple[DataFrame, float | None]:
     """``text, score`` of each different text of ``rows`` (``text``, ``ruled``) by the models of the ruled ones, and the calibrated cut."""
-    texts = cut(rows.groupBy("text", "ruled").agg(F.count("*").alias("n")))
-    each = texts.select("text", "ruled", "n", F.explode(_grams(F.col("text"))).alias("gram"))
-    counted = cut(each.groupBy("gram").agg(*(F.sum(F.when(F.col("ruled") == c, F.col("n")).otherwise(0)).alias(c) for c in ("allow", "block"))))
-    model = cut(_model(counted))
-    grams = texts.select("text").distinct().select("text", F.explode(_grams(F.col("text"))).alias("gram"))
-    scores = cut(grams.join(model, "gram").groupBy("text").agg(F.avg("ratio").alias("score")))
-    return scores, calibrated(texts.join(scores, "text"))
+    held = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(FOLDS)) == 0
+    texts = cut(rows.groupBy("text", "ruled").agg(F.count("*").alias("n")).withColumn("held", held))
+    # a text becomes many grams, so texts are dealt over all tasks by number, not by their own few bytes
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = texts.repartition(parts, "text").select("text", "ruled", "held", "n", F.explode(_grams(F.col("text"))).alias("gram"))
+
+    def counted(c: str) -> Column:
+        of, fit = c.partition("_")[::2]
+        return F.sum(F.when((F.col("ruled") == of) & ~(F.lit(bool(fit)) & F.col("held")), F.col("n")).otherwise(0)).alias(c)
+
+    model = cut(_model(cut(each.groupBy("gram").agg(*map(counted, CLASSES)))))
+    grams = texts.select("text").distinct().repartition(parts, "text").select("text", F.explode(_grams(F.col("text"))).alias("gram"))
+    scores = cut(grams.join(model, "gram").groupBy("text").agg(F.avg("ratio").alias("score"), F.avg("ratio_fit").alias("score_fit")))
+    judged = texts.join(scores, "text").filter("ruled is not null")
+    at = calibrated(judged.filter("held").select("ruled", "n", F.col("score_fit").alias("score")))
+    return scores.drop("score_fit"), calibrated(judged) if at is None else at
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -102,7 +116,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFr
 
     Where no rule fits, a ``url_score`` (over the whole URL, query and fragment too; a null one is empty) of at least
     the calibrated cut allows; if the rules give only one class or none, there is nothing to compare and all such URLs
-    are allowed. ``score`` is the same ratio over host and path alone and decides nothing.
+    are allowed. ``score`` is the same ratio over host and path alone and decides nothing. Equal URLs get equal answers,
+    an empty table an empty one, and URLs of any length are judged whole.
     """
     rows = ruled(parsed(pages.select("page_id", "url")), rules)
     rows = rows.withColumn("site", F.concat("host", "path")).withColumn("whole", F.coalesce("url", F.lit("")))
