@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from brookframe.llm.byte_bpe import byte_bpe
 from brookframe.llm.scratch import cut
 
-BUCKETS = 256
+#: Pieces of one length are ranked in groups of about this many.
+GROUP = 20_000
 Recipes = list[tuple[tuple[int, ...], int]]
 
 
@@ -128,14 +129,16 @@ def _places(recipes: Recipes) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndar
 
 def pack(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: int = 2) -> DataFrame:
     """The pieces of ``docs`` with ``sequence_id`` and ``offset``. Columns other than doc_id and text are ignored; an empty table gives an empty result; equal rows are packed as often as they are there."""
-    cuts = cut(pieces(docs, tokenizer, limit, end_id).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS))))
+    cuts = cut(pieces(docs, tokenizer, limit, end_id))
+    buckets = -(-cuts.count() // GROUP) or 1
+    cuts = cuts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)))
     each = cut(cuts.groupBy("length", "bucket").count())
     counts = np.zeros(limit + 1, np.int64)
     for row in each.groupBy("length").agg(F.sum("count").alias("n")).collect():
         counts[row.length] = row.n
     places = _places(exact_recipes(counts, limit) + best_fit(counts, limit))
     before = F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece"))
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = cuts.withColumn("own", own).join(each.select("length", "bucket", before.alias("before")), ["length", "bucket"])
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
