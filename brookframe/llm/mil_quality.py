@@ -5,21 +5,24 @@ each other, how long its words are and how often they repeat. A small network en
 weighs them, and the weighted mean gives the document's score; encoder, attention and output are learned together
 from document labels alone.
 
-Only the fit sees a sample: at most ``most`` labelled documents, chosen by a hash of their id. Every document is
-scored on its whole text.
+Only the fit sees a sample: at most ``most`` labelled documents, chosen by a hash of their id, and of these, in the
+same order, as many whole documents as have at most ``most_passages`` passages together. Every document is scored on
+its whole text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brookframe.llm.scratch import cut
 from brookframe.llm.words import Words, blocks
 
 WORDS = 64
-MOST = 3000
+#: Bounds of the sample for the fit; 200,000 passages are about 60 MB on the driver.
+MOST, MOST_PASSAGES = 3000, 200_000
 _HIDDEN, _GATE = 16, 8
 _KINDS = 12
 _KIND = np.full(256, 10, np.uint8)
@@ -129,16 +132,20 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> AttentionModel | None:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, most_passages: int = MOST_PASSAGES) -> AttentionModel | None:
     """Learns from a bounded sample; None if no document has a label."""
 
     def run(batches):
         for batch in batches:
             found = [x.astype(np.float16).tobytes() for x in bags(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(found, pa.binary())], ["doc_id", "quality", "x"])
+            sizes = [len(x) // (2 * FEATURES) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "quality", "n", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = training_sample(docs, labels, most).mapInArrow(run, f"doc_id {kind}, quality int, x binary").toArrow().sort_by("doc_id")
+    rows = cut(training_sample(docs, labels, most).mapInArrow(run, f"doc_id {kind}, quality int, n long, x binary"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.select("doc_id", "n").withColumn("total", F.sum("n").over(order)).filter(F.col("total") <= most_passages).select("doc_id", "n").distinct()
+    rows = rows.join(F.broadcast(within), ["doc_id", "n"], "left_semi").select("doc_id", "quality", "x").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return None
     xs = [np.frombuffer(x.as_py(), np.float16).reshape(-1, FEATURES).astype(np.float32) for x in rows.column("x")]
@@ -146,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> AttentionModel
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
-    """``docs`` with ``score`` (double; 0.5 if nothing is labelled). Only texts are inputs of a score; null texts count as empty, and empty ones get what the network says of an empty passage. A column named score is replaced."""
+    """``docs`` with ``score`` (double; 0.5 if nothing is labelled); equal rows get equal scores, an empty table stays empty, and texts of any length are read whole. Only texts are inputs of a score; null texts count as empty, and empty ones get what the network says of an empty passage. A column named score is replaced."""
     model = fit(docs, labels, most)
     docs = docs.drop("score")
 
