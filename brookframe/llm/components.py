@@ -14,13 +14,14 @@ def _least(edges: DataFrame) -> DataFrame:
 
 
 def _size(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+    """Of the set of edges: how many, and two independent 64-bit sums over them."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component`` (the least id it is linked with, directly or not) for each id other than its component's least.
 
-    Each round is two shuffles of the links that are left; nothing is gathered on the driver but two numbers.
+    Each round is two shuffles of the links that are left; nothing is gathered on the driver but three numbers.
     Null ends and self links are ignored; without links the result is empty.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct())

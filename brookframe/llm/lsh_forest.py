@@ -45,21 +45,23 @@ def _signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
     return least.astype(">u2").tobytes()
 
 
-def signatures(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
-    """``doc_id, n, f1, f2, signature``: the set's size, a 128-bit fingerprint of it, and all labels in a row."""
+def signatures(docs: DataFrame, k: int, trees: int, depth: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``keep``, ``n, f1, f2, signature``: the set's size, a 128-bit fingerprint of it, and all labels in a row."""
+    carried = [docs.schema[c] for c in ("doc_id", *keep)]
 
     def run(batches):
         a, b = _functions(trees * depth)
         for batch in batches:
             sizes, f1, f2, labels = [], [], [], []
-            for s in shingle_sets(batch.column(1), k):
+            for s in shingle_sets(batch.column("text"), k):
                 sizes.append(len(s))
                 f1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                 f2.append(int((s * (s >> np.uint64(17) | np.uint64(1))).sum(dtype=np.uint64).astype(np.int64)))
                 labels.append(_signature(s, a, b) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(labels, pa.binary())], ["doc_id", "n", "f1", "f2", "signature"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(labels, pa.binary())], [*(f.name for f in carried), "n", "f1", "f2", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, signature binary")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
+    return docs.select(*(f.name for f in carried), "text").mapInArrow(run, f"{kinds}, n long, f1 long, f2 long, signature binary")
 
 
 def regions(rows: DataFrame, trees: int, depth: int, shallowest: int) -> DataFrame:
@@ -157,16 +159,17 @@ def exhausted(scratch: Scratch, members: DataFrame, named: DataFrame, texts: Dat
         rows, done, to = at.select("bucket", "id", "blocks", "block"), to, 2 * to
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, shallowest: int = SHALLOWEST, reach: int = REACH) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row of ``docs`` (``doc_id``, ``text``; more columns are ignored).
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, shallowest: int = SHALLOWEST, reach: int = REACH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each row of ``docs`` (``doc_id``, ``text``; of more columns those in ``keep`` follow, none named like these).
 
     Words are lower-cased by A-Z only. Texts with 1 to k - 1 words have one shingle; null, empty and blank texts
     have none and are linked with nothing. Texts with equal sets are one class from the start. Rows of one
-    ``doc_id`` count as one document if their sets agree. Rows with a null doc_id are kept, each by itself.
+    ``doc_id`` count as one document if their sets agree, else each as one of its own. Rows with a null doc_id are
+    kept, each by itself. An empty table gives an empty result; texts of any length are read whole.
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        sets = scratch.save(signatures(docs, k, trees, depth))
+        sets = scratch.save(signatures(docs, k, trees, depth, keep))
         key = ["n", "f1", "f2"]
         classes = scratch.save(sets.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("id")))
         rows = sets.join(classes.select(F.col("id").alias("doc_id"), *key), ["doc_id", *key], "left_semi")
@@ -175,6 +178,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         texts = docs.select(F.col("doc_id").alias("id"), "text")
         named = exhausted(scratch, members, linked(scratch, pairs, texts, k, percent), texts, k, percent)
         of_class = classes.join(named, "id", "left").select(*key, F.coalesce("component", "id").alias("component"))
-        out = sets.select("doc_id", *key).join(of_class, key, "left")
+        out = sets.select("doc_id", *keep, *key).join(of_class, key, "left")
         component = F.coalesce("component", "doc_id")
-        return cut(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")))
+        return cut(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), *keep))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a session on this machine alone gets a temporary folder and any other raises: its executors share no local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="brookframe-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -19,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a small table by a reliable checkpoint, which Spark cleans when it is unused."""
+    """Cuts the lineage of a small table by a reliable checkpoint, which Spark cleans when it is unused if spark.cleaner.referenceTracking.cleanCheckpoints is true."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -151,3 +151,16 @@ def test_pipeline_stages(spark, sf, docs, tmp_path):
             if name != "packing":
                 assert at.columns == table.columns
     assert at.count() == 0
+
+
+def test_near_dedup_and_decontamination_judge_rows_of_one_id_by_their_own_texts(spark, sf):
+    """Also rows without an id, and rows that repeat both id and text, of which one stays."""
+    a, b = TEXT, " ".join(f"b{i}" for i in range(30))
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(1, a), (5, b), (5, a), (6, leak), (6, "quite other words " * 5), (7, b + " end"), (8, "x y z"), (8, "x y z"), (None, b), (None, leak)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    left = [(r.doc_id, r.text) for r in stages["near_dedup"](spark, docs, sf).collect()]
+    assert sorted(left, key=repr) == sorted([(1, a), (5, b), (6, leak), (6, "quite other words " * 5), (8, "x y z"), (None, b), (None, leak)], key=repr)
+    left = [(r.doc_id, r.text) for r in stages["decontaminate"](spark, docs, sf).collect()]
+    assert sorted(left, key=repr) == sorted([x for x in rows if x[1] != leak], key=repr)
