@@ -1,9 +1,14 @@
-"""From documents to packed training sequences: each stage works on all that the stage before kept."""
+"""From documents to packed training sequences: each stage works on all that the stage before kept.
+
+In all stages a null text counts as empty, texts of any length are read whole, other columns pass unchanged, and an
+empty table gives an empty one. Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, are
+judged each by its own text.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brookframe.llm.decontaminate import contaminated
@@ -11,13 +16,13 @@ from brookframe.llm.line_templates import drop_recurring_lines
 from brookframe.llm.lsh_forest import near_duplicates
 from brookframe.llm.mil_quality import score
 from brookframe.llm.packing import pack
-from brookframe.llm.scratch import Scratch
+from brookframe.llm.scratch import Scratch, free_name
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; equal texts get equal scores."""
     return score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("score >= 0.5").select(*docs.columns)
 
 
@@ -28,15 +33,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    gone = near_duplicates(docs, k=5, percent=80).filter("not kept").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates the document with the least id stays, and of rows equal in id and text one; rows without an id stay."""
+    row, place = free_name(docs, "_row"), free_name(docs, "_place")
+    docs_by_row = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    gone = near_duplicates(docs_by_row, k=5, percent=80, keep=(row,)).filter("not kept").select(row)
+    left = docs_by_row.join(gone.hint("merge"), row, "left_anti")
+    return left.withColumn(place, F.row_number().over(Window.partitionBy(row).orderBy(row))).filter((F.col(place) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold an item of the benchmark go, each row by its own text."""
+    row = free_name(docs, "_row")
+    docs_by_row = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = contaminated(docs_by_row.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(row)).distinct()
+    return docs_by_row.join(found, row, "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
