@@ -393,6 +393,34 @@ def test_templates_with_fields_go_and_copies_stay(spark):
     assert all(out[100 + i].text == copy for i in range(20))
 
 
+def test_blocks_go_whole_and_footers_beside_copies_go_too(spark):
+    """All lines of a block that otherwise different documents share, and a footer that a large group of near copies has as well."""
+    rng = random.Random(51)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+    block = [prose(8) for _ in range(4)] + ["read more"]
+    rows = [(i, "\n".join([prose(60), *block, prose(20)])) for i in range(8)]
+    footer = prose(7)
+    rows += [(100 + i, f"{prose(60)}\n{footer}") for i in range(12)]
+    base = [prose(15) for _ in range(9)]
+    for i in range(150):
+        near = list(base)
+        near[i % 9] = prose(15)
+        rows.append((1000 + i, "\n".join([*near, footer])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r for r in line_templates.drop_recurring_lines(df).collect()}
+    assert all(out[i].n_dropped == 5 and not set(block) & set(out[i].text.split("\n")) for i in range(8))
+    assert all(out[d].n_dropped == 1 and out[d].text.split("\n") == t.split("\n")[:-1] for d, t in rows if d >= 100)
+
+
+def test_a_line_without_spaces_costs_its_length(spark):
+    text = "\n".join(["a" * 1_000_000, "b" * 1_000_000 + "1", "c 1" * 100_000])
+    r = spark.createDataFrame([(text,)], "text string").select(F.transform(F.split("text", "\n"), line_templates.masked).alias("m")).first()
+    assert r.m == ["a" * 1_000_000, "<*>", "c " + "<*> " * 99_999 + "<*>"]
+
+
 def tokens_of(text):
     return [x for x in re.split(r"[^\w]|_", (text or "").lower()) if x]
 
