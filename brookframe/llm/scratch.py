@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session. Where it is unset, a session on this machine alone gets a temporary folder and any other raises: its executors share no local folder."""
@@ -20,10 +24,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, each query's shuffle files go when the query ends, not when the driver happens to collect garbage."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a small table by a reliable checkpoint, which Spark cleans when it is unused if spark.cleaner.referenceTracking.cleanCheckpoints is true."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -45,7 +61,8 @@ class Scratch:
     def save(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         path = f"{self.folder}/{len(self.paths)}"
         self.paths.append(path)
-        df.write.option("compression", codec).parquet(path)
+        with tidy(self.spark):
+            df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
