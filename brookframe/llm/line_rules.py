@@ -1,7 +1,7 @@
 """Line-first cleaning, all in DataFrame functions.
 
-Every line is judged alone (punctuation, navigation, boilerplate, symbols, shouting, one word over and over); lines
-that fail are removed, and a document that loses too much of its text is rejected.
+Every line is judged alone (symbols and shouts for punctuation, no end mark, navigation, links, boilerplate, one word
+over and over); lines that fail are removed, and a document that loses too much of its text is rejected.
 """
 
 from __future__ import annotations
@@ -10,13 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "[^#*$%&|<>]+"
+WORD = r"[^\x20\x09-\x0D]+"
+SYMBOLS = "#*$%&|<>"
 #: Phrases of licence, consent and navigation lines.
-BOILERPLATE = r"(?i)\b(all rights reserved|licen[sc]ed under|released under the|general public license|cookie policy|privacy policy|terms of (use|service)|subscribe to|sign up|log ?in|click here|read more|share (this|on)|back to top|copyright|skip to content)\b"
+PHRASES = (
+    "all rights reserved", "licen[sc]ed under", "released under the", "general public license", "cookie policy", "privacy policy", "terms of (?:use|service)", "subscribe to",
+    "sign up", "log ?in", "click here", "read more", "share (?:this|on)", "back to top", "copyright", "skip to content",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "impressum", "weiterlesen", "nach oben", "anmelden",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "lire la suite", "se connecter",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "leer más", "iniciar sesión",
+)
+BOILERPLATE = r"(?iu)(?<!\p{L})(?:" + "|".join(PHRASES) + r")(?!\p{L})"
+LINKS = r"(?:https?://|www\.)[^\x20\x09-\x0D]+|[^\x20\x09-\x0D]+@[^\x20\x09-\x0D]+\.[^\x20\x09-\x0D]+"
+END_MARK = "[.!?:;…。！？]"
+#: In a text with end marks, a line of at least this many words has one somewhere.
+UNMARKED = 6
+#: A phrase of ``PHRASES`` for each so many words, or more of them, makes a line boilerplate.
+PER_PHRASE = 16
 #: A document keeps at least this share of its characters, or it is rejected.
 KEPT_SHARE = 0.5
-#: Losing fewer characters than this (a licence line, say) rejects no document that has enough words left.
-LEAST_LOST = 100
 
 
 def word_list(text: Column) -> Column:
@@ -56,46 +68,58 @@ def text_counts(docs: DataFrame, window: int = 5) -> DataFrame:
         *docs.columns,
         "_n_words",
         F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s + F.char_length(w)).alias("_word_chars"),
-        F.char_length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias("_n_symbols"),
+        _count(text, SYMBOLS).cast("long").alias("_n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines"),
         F.when(repeats, _covered(F.col("_h"), window)).otherwise(F.lit(0)).cast("long").alias("_n_repeat_words"),
     )
 
 
-def failed_line(line: Column) -> Column:
-    """Whether a line breaks a rule by itself."""
-    size = F.char_length(line)
-    symbols = F.char_length(F.regexp_replace(line, SYMBOLS, ""))
-    shouts = F.char_length(F.regexp_replace(line, r"[^!]+", ""))
-    bars = F.regexp_count(line, F.lit(r"\x20\|\x20"))
-    words = F.greatest(F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1))
-    return (
-        (symbols * 10 > words * 3)  # symbols for punctuation
-        | (shouts * 10 > words * 3)
-        | ((bars >= 2) & (bars * 2 >= words - bars - 2))  # navigation: items between bars
-        | line.rlike(r"(?:^|\x20)([^\x20]+)(?:\x20\1){4,}(?:\x20|$)")  # one word over and over
-        | ((size < 200) & line.rlike(BOILERPLATE))
-    )
+def _count(text: Column, characters: str) -> Column:
+    """How many of the text's characters are of these."""
+    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
+
+
+def failed_line(line: Column, marked: Column) -> Column:
+    """Whether a line breaks a rule by itself. A blank line breaks none; the rule of end marks is for texts that have any (``marked``)."""
+
+    def rules(n: Column) -> Column:
+        words, symbols = n["words"], n["symbols"]
+        bars = F.regexp_count(line, F.lit(r"\x20\|\x20"))
+        return (
+            (symbols * 10 > words * 3)  # symbols for punctuation
+            | (n["shouts"] * 10 > words * 3)
+            | ((symbols >= 2) & (bars >= 2) & (bars * 2 >= words - bars - 2))  # navigation: items between bars
+            | ((words >= 5) & line.rlike(r"(?:^|\x20)([^\x20]+)(?:\x20\1){4,}(?:\x20|$)"))  # one word over and over
+            | (marked & (words >= UNMARKED) & ~line.rlike(END_MARK))
+            | (line.rlike("www|http|@") & (2 * F.char_length(F.regexp_replace(line, LINKS, "")) < F.char_length(line)))  # mostly links
+            | (line.rlike(BOILERPLATE) & (F.regexp_count(line, F.lit(BOILERPLATE)) * PER_PHRASE >= words))
+        )
+
+    counts = F.struct(F.regexp_count(line, F.lit(WORD)).alias("words"), _count(line, SYMBOLS).alias("symbols"), _count(line, "!").alias("shouts"))
+    return F.get(F.transform(F.array(counts), lambda n: (n["words"] > 0) & rules(n)), F.lit(0))
 
 
 def clean_lines(docs: DataFrame, share: float = KEPT_SHARE, least_words: int = 10) -> DataFrame:
     """Adds ``cleaned`` (the text without lines that fail), ``_lost`` (share of characters removed) and ``_passed``.
 
-    A document of which fewer than ``least_words`` words are left doesn't pass, however little it lost.
+    A document of which fewer than ``least_words`` words are left doesn't pass, however little it lost. A null text
+    counts as empty.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_kept_lines", F.filter(F.split(text, "\n"), lambda x: ~failed_line(x)))
-    out = out.withColumn("cleaned", F.array_join("_kept_lines", "\n")).drop("_kept_lines")
+    out = docs.withColumn("_marked", text.rlike(END_MARK))
+    out = out.withColumn("_kept_lines", F.filter(F.split(text, "\n"), lambda x: ~failed_line(x, F.col("_marked"))))
+    out = out.withColumn("cleaned", F.array_join("_kept_lines", "\n")).drop("_kept_lines", "_marked")
     size, left = F.char_length(text), F.char_length("cleaned")
     out = out.withColumn("_lost", F.when(size > 0, 1 - left / size).otherwise(F.lit(0.0)))
-    enough = F.regexp_count("cleaned", F.lit(r"[^\x20\x09-\x0D]+")) >= least_words
-    return out.withColumn("_passed", enough & ((F.col("_lost") <= 1 - share) | (size - left < LEAST_LOST)))
+    enough = F.regexp_count("cleaned", F.lit(WORD)) >= least_words
+    return out.withColumn("_passed", enough & (F.col("_lost") <= 1 - share))
 
 
 def judge(docs: DataFrame, share: float = KEPT_SHARE, least_words: int = 10, most_repeats: int = 20, window: int = 5) -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``kept`` and ``n_removed_chars`` of each row of ``docs``.
 
-    Null, empty and blank texts have no words and fail; equal rows get equal answers; other columns are ignored.
+    Null, empty and blank texts have no words and fail; an empty table stays empty; texts of any length are judged
+    whole; equal rows get equal answers; other columns are ignored.
     """
     counted = clean_lines(text_counts(docs.select("doc_id", "text"), window), share, least_words)
     n = F.col("_n_words")
