@@ -5,8 +5,10 @@ from __future__ import annotations
 import gzip
 import io
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -77,52 +79,83 @@ def ipc_decode(records: DataFrame, schema: T.StructType) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            at = {c: batch.column(c) for c in meta}
-            for i, value in enumerate(batch.column("value")):
-                if value.as_py() is None:
+            streams, counts = [], []
+            for value in batch.column("value"):
+                if not value.is_valid:
                     raise ValueError("a null value is no Arrow stream")
-                rows = pa.ipc.open_stream(value.as_py()).read_all()
+                rows = pa.ipc.open_stream(value.as_buffer()).read_all()
                 if rows.schema.names != target.names:
                     raise ValueError(f"a stream has columns {rows.schema.names}, expected {target.names}")
-                rows = rows.cast(target)
-                columns = [*rows.columns, *(pa.chunked_array([pa.repeat(at[c][i], rows.num_rows)]) for c in meta)]
-                yield from pa.Table.from_arrays(columns, [*target.names, *meta]).to_batches()
+                streams.append(rows if rows.schema.equals(target) else rows.cast(target))
+                counts.append(rows.num_rows)
+            if streams:
+                at = pa.array(np.repeat(np.arange(len(counts)), counts))
+                whole = pa.concat_tables(streams)
+                yield from pa.Table.from_arrays([*whole.columns, *(batch.column(c).take(at) for c in meta)], [*target.names, *meta]).to_batches()
 
     return records.mapInArrow(run, out)
 
 
-def with_runs(rows: DataFrame) -> DataFrame:
-    """Adds ``run``: consecutive rows of a poll that share key, timestamp and headers. A poll of a partition is one unit of work, so runs end with it."""
-    poll = Window.partitionBy("__partition", BATCH).orderBy("__offset")
-    same = F.col("__key").eqNullSafe(F.lag("__key").over(poll)) & F.col("__timestamp").eqNullSafe(F.lag("__timestamp").over(poll)) & F.col("__headers").eqNullSafe(F.lag("__headers").over(poll))
-    first = F.row_number().over(poll) == 1
-    return rows.withColumn("_new", F.when(same & ~first, 0).otherwise(1)).withColumn("run", F.sum("_new").over(poll.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+RUN = ("__partition", BATCH, "__key", "__timestamp", "__headers")
+
+
+def _starts(batch: pa.RecordBatch, before: pa.RecordBatch | None) -> np.ndarray:
+    """Whether each row begins a run: it differs from the row before (null equals null); the first is compared with the last of ``before``."""
+    starts = np.zeros(batch.num_rows, bool)
+    starts[0] = before is None or any(batch.column(c)[0].as_py() != before.column(c)[before.num_rows - 1].as_py() for c in RUN)
+    for c in RUN:
+        own, prior = batch.column(c)[1:], batch.column(c)[:-1]
+        same = pc.or_(pc.fill_null(pc.equal(own, prior), False), pc.and_(own.is_null(), prior.is_null()))
+        starts[1:] |= ~same.to_numpy(zero_copy_only=False)
+    return starts
 
 
 def blob_encode(rows: DataFrame, most: int = MOST_RECORD) -> DataFrame:
-    """Packs runs of rows as Arrow streams of at most ``most`` bytes each; a run that is longer is halved until it fits, and one row over it raises."""
+    """Packs runs of rows as Arrow streams of at most ``most`` bytes each; a run that is longer is halved until it fits, and one row over it raises.
+
+    A run is consecutive rows of a poll that share key, timestamp and headers. A poll of a partition is one unit of
+    work: its rows are sorted by offset in one task, which cuts the runs as the rows come by and holds one at a time.
+    """
     names = payload_names(rows)
-    marked = with_runs(rows).select(*names, "__key", "__timestamp", "__headers", "__partition", BATCH, "run", "__offset")
-    out = "value binary, __key binary, __timestamp long, __headers binary, __partition int, n_rows int"
-
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by("__offset")
-        payload = table.select(names)
-
-        def split(part: pa.Table) -> list[tuple[bytes, int]]:
-            data = _ipc(part)
-            if len(data) <= most:
-                return [(data, part.num_rows)]
-            if part.num_rows == 1:
-                raise ValueError(f"one row takes {len(data)} bytes, over {most}")
-            half = part.num_rows // 2
-            return split(part.slice(0, half)) + split(part.slice(half))
-
-        parts = split(payload)
-        keep = {c: pa.repeat(table.column(c)[0], len(parts)) for c in ("__key", "__timestamp", "__headers", "__partition")}
-        return pa.table({"value": pa.array([p[0] for p in parts], pa.binary()), **keep, "n_rows": pa.array([p[1] for p in parts], pa.int32())})
-
-    return marked.groupBy("__partition", BATCH, "run").applyInArrow(pack, out)
+    keep = ("__key", "__timestamp", "__headers", "__partition")
+    ordered = rows.select(*names, *keep, BATCH, "__offset").repartition("__partition", BATCH).sortWithinPartitions("__partition", BATCH, "__offset").drop("__offset")
+
+    def split(part: pa.Table | pa.RecordBatch) -> list[tuple[bytes, int]]:
+        data = _ipc(part)
+        if len(data) <= most:
+            return [(data, part.num_rows)]
+        if part.num_rows == 1:
+            raise ValueError(f"one row takes {len(data)} bytes, over {most}")
+        half = part.num_rows // 2
+        return split(part.slice(0, half)) + split(part.slice(half))
+
+    def packed(run: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = run[0] if len(run) == 1 else pa.Table.from_batches(run)
+        found = split(part.select(names))
+        meta = run[0].select(keep).take(pa.array(np.zeros(len(found), np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), *meta.columns, pa.array([n for _, n in found], pa.int32())], ["value", *keep, "n_rows"])
+
+    def cut(batches):
+        run: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.flatnonzero(_starts(batch, run[-1] if run else None))
+            ends = np.append(at, batch.num_rows)
+            if run and (not len(at) or at[0]):
+                run.append(batch.slice(0, int(ends[0])))
+            if run and len(at):
+                yield packed(run)
+            whole, payload = at[:-1], batch.select(names)
+            found = [split(payload.slice(int(a), int(b - a))) for a, b in zip(whole, ends[1:-1])]
+            meta = batch.select(keep).take(pa.array(np.repeat(whole, [len(x) for x in found]).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([v for x in found for v, _ in x], pa.binary()), *meta.columns, pa.array([n for x in found for _, n in x], pa.int32())], ["value", *keep, "n_rows"])
+            if len(at):
+                run = [batch.slice(int(at[-1]))]
+        if run:
+            yield packed(run)
+
+    return ordered.mapInArrow(cut, "value binary, __key binary, __timestamp long, __headers binary, __partition int, n_rows int")
 
 
 def gzip_values(records: DataFrame) -> DataFrame:
