@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brookframe.functions import binary
-from brookframe.functions.exact import exact_cast, floor_to
+from brookframe.functions.exact import exact_cast, floor_to, unsigned
 from brookframe.operators import codecs
-from brookframe.operators.groups import COUNT, MAX, MIN, SUM, Agg, group_by, windowed_group_by
+from brookframe.operators.groups import COUNT, MAX, MIN, SUM, Agg, first_appearance, group_by, windowed_group_by
 from brookframe.operators.joins import windowed_join
 from brookframe.operators.rows import Derived, filter_rows, select_columns, with_derived
 from brookframe.plans import cuts, roles, runs
@@ -289,6 +289,40 @@ def join_null_keys(spark, d):
     return windowed_join(left, right, "user_id", "user_id", HOUR).select("left_event_id", "right_event_id")
 
 
+@query(JOIN + f"SELECT l.event_id AS left_event_id, r.event_id AS right_event_id FROM l JOIN r ON l.user_id = r.user_id AND l.__partition = r.__partition AND abs(l.__timestamp - r.__timestamp) <= {HOUR}")
+def join_key_family(spark, d):
+    """Integers of different widths are one family of keys."""
+    left, right = _sides(spark, d)
+    return windowed_join(left.withColumn("user_id", F.col("user_id").cast("int")), right, "user_id", "user_id", HOUR).select("left_event_id", "right_event_id")
+
+
+@query(JOIN + "SELECT count(*) AS n FROM l WHERE false")
+def join_other_family(spark, d):
+    """An integer never equals a text or a decimal, even if they look alike."""
+    left, right = _sides(spark, d)
+    return windowed_join(left, right.withColumn("user_id", F.col("user_id").cast("decimal(20,0)")), "user_id", "user_id", DAY).agg(F.count("*").alias("n"))
+
+
+@query(JOIN + "SELECT l.event_id AS left_event_id, r.event_id AS right_event_id FROM l JOIN r ON l.user_id = r.user_id AND l.__partition = r.__partition AND l.event_id % 2 = r.event_id % 2 AND l.event_id < 2000 AND r.event_id < 2000")
+def join_farthest_times(spark, d):
+    """Times at both ends of a long: their difference doesn't overflow into a match."""
+    ends = F.when(F.col("event_id") % 2 == 0, F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
+    left, right = (x.filter("event_id < 2000").withColumn("__timestamp", ends) for x in _sides(spark, d))
+    return windowed_join(left, right, "user_id", "user_id", HOUR).select("left_event_id", "right_event_id")
+
+
+@query(JOIN + f"SELECT l.event_id AS \"left___offset\", r.event_id AS \"right___offset\", l.__timestamp, l.__partition FROM l JOIN r ON l.user_id = r.user_id AND l.__partition = r.__partition AND abs(l.__timestamp - r.__timestamp) <= {HOUR}")
+def join_escaped_names(spark, d):
+    """Payload columns named like metadata get their own names back before the prefix."""
+    sides = []
+    for kind in ("click", "purchase"):
+        rows = filter_rows(topic(spark, d), F.col("event_type") == kind)
+        payload = rows.select(F.col("event_id").alias("__offset"), "user_id", F.col("event_id").alias("at"), F.col("__timestamp").alias("time"), F.col("__partition").alias("part"))
+        named = topics.as_topic(payload, timestamp_ms=F.col("time"), partition=F.col("part"), offset=F.col("at"))
+        sides.append(select_columns(named, topics.payload_column("__offset"), "user_id"))
+    return windowed_join(*sides, "user_id", "user_id", HOUR).select("left___offset", "right___offset", "__timestamp", "__partition")
+
+
 @query(JOIN + f"SELECT l.event_id AS a_event_id, l.value AS a_value, r.event_id AS b_event_id, r.value AS b_value, l.__timestamp, l.__partition, l.__offset FROM l JOIN r ON l.user_id = r.user_id AND l.__partition = r.__partition AND abs(l.__timestamp - r.__timestamp) <= {DAY}")
 def join_prefixes_left_metadata(spark, d):
     return windowed_join(*_sides(spark, d), "user_id", "user_id", DAY, "a_", "b_").drop("a_user_id", "b_user_id", "__key", "__headers")
@@ -370,6 +404,14 @@ def json_required(spark, d):
     return codecs.json_decode(_records(spark, d), T.StructType([T.StructField("k", T.IntegerType(), False)])).select("event_id", "k")
 
 
+@query("SELECT event_id, event_id * 3 AS value FROM events")
+def json_bridge_scalars(spark, d):
+    """A record that is a number, not an object: one column named value."""
+    rows = topic(spark, d).select((F.col("event_id") * 3).alias("value"), *(c for c in topic(spark, d).columns if c.startswith("__")))
+    written = codecs.json_encode(rows).select("__offset", "value")
+    return codecs.json_decode(written, T.StructType([T.StructField("value", T.LongType())])).select(F.col("__offset").alias("event_id"), "value")
+
+
 @query(TOPIC + """, k AS (SELECT *, user_id % 2 AS kk FROM topic), m AS (SELECT *, CASE WHEN kk = lag(kk) OVER p AND __timestamp // 86400000 = lag(__timestamp // 86400000) OVER p THEN 0 ELSE 1 END AS new
   FROM k WINDOW p AS (PARTITION BY user_id % 3, __batch ORDER BY __offset)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id % 3, __batch ORDER BY __offset) AS run FROM m)
 SELECT CAST(user_id % 3 AS INTEGER) AS __partition, kk AS k, __timestamp // 86400000 * 86400000 AS __timestamp, CAST(count(*) AS INTEGER) AS n_rows FROM r GROUP BY user_id % 3, __batch, run, kk, __timestamp // 86400000""")
@@ -523,7 +565,25 @@ def headers_pack(spark, d):
     return _records(spark, d).select("event_id", F.hex(binary.pack_headers(F.col("headers"))).alias("packed"))
 
 
-@query()
+@query("SELECT event_id, 2 AS n, 'trace' AS first_key, event_type AS first_value, CAST(NULL AS VARCHAR) AS second_value FROM events")
+def headers_unpack(spark, d):
+    two = F.concat("headers", F.array(F.struct(F.lit("none").alias("key"), F.lit(None).cast("binary").alias("value"))))
+    back = _records(spark, d).select("event_id", binary.unpack_headers(binary.pack_headers(two)).alias("h"))
+    text = lambda i: F.decode(F.col("h")[i]["value"], "UTF-8")
+    return back.select("event_id", F.size("h").alias("n"), F.col("h")[0]["key"].alias("first_key"), text(0).alias("first_value"), text(1).alias("second_value"))
+
+
+M32, MIX = "% 4294967296", "1540483477::UBIGINT"
+MURMUR2 = f"""WITH k AS (SELECT event_id, CAST(user_id AS VARCHAR) AS s FROM events),
+w AS (SELECT event_id, length(s) AS n, [ascii(c)::UBIGINT for c in string_split(s, '')] AS b FROM k),
+whole AS (SELECT event_id, n, b, list_reduce(list_prepend(xor(2538058380::UBIGINT, n::UBIGINT), [b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216 for i in range(n // 4)]),
+  lambda h, x: xor((h * {MIX}) {M32}, (xor((x * {MIX}) {M32}, ((x * {MIX}) {M32}) >> 24) * {MIX}) {M32})) AS h FROM w),
+tail AS (SELECT event_id, CASE WHEN n % 4 = 0 THEN h ELSE (xor(h, coalesce(b[n - n % 4 + 1], 0) + coalesce(b[n - n % 4 + 2], 0) * 256 + coalesce(b[n - n % 4 + 3], 0) * 65536) * {MIX}) {M32} END AS h FROM whole),
+mixed AS (SELECT event_id, (xor(h, h >> 13) * {MIX}) {M32} AS h FROM tail)
+SELECT event_id, CAST((xor(h, h >> 15) & 2147483647) % 16 AS INTEGER) AS dealt FROM mixed"""
+
+
+@query(MURMUR2)
 def role_partition_murmur2(spark, d):
     return topic(spark, d).select("event_id", binary.key_partition(F.col("__key"), 16).alias("dealt"))
 
@@ -541,6 +601,31 @@ def gzip_roundtrip(spark, d):
     return back.select("event_id", F.decode("value", "UTF-8").alias("value"))
 
 
+@query(TOPIC + "SELECT __partition, user_id, min(__offset) AS __first, count(*) AS n FROM topic GROUP BY ALL")
+def group_first_appearance(spark, d):
+    return first_appearance(topic(spark, d), ["__partition", "user_id"], [Agg(COUNT, "event_id", "n")])
+
+
+@query("SELECT o_custkey, CAST(DATE '1970-01-01' + CAST(sum(CAST(o_orderdate AS DATE) - DATE '1970-01-01') AS INTEGER) AS DATE) AS days FROM orders GROUP BY o_custkey")
+def sum_of_dates(spark, d):
+    """Dates sum as the days they are stored as."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", F.to_date("o_orderdate").alias("day"))
+    rows = topics.as_topic(orders, timestamp_ms=F.lit(0), partition=F.lit(0), offset=F.lit(0))
+    return group_by(rows, ["o_custkey"], [Agg(SUM, "day", "days")])
+
+
+@query("SELECT p_partkey, CAST(p_size AS DECIMAL(20,0)) AS size FROM part")
+def unsigned_range(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", unsigned(F.col("p_size").cast("decimal(20,0)"), 8).alias("size"))
+
+
+@query(TOPIC + "SELECT event_type, count(*) AS n FROM topic WHERE __partition = 2 GROUP BY event_type")
+def run_one_partition(spark, d):
+    t = Topology()
+    t.sink("out", t.group("types", t.source("events", ["events"]), ["event_type"], [Agg(COUNT, "event_id", "n")]), "by-type")
+    return t.run({"events": filter_rows(topic(spark, d), F.col("__partition") == 2)}, partition=2)["out"]
+
+
 @query("SELECT p_partkey, CAST(p_size AS SMALLINT) AS narrow, CAST(p_size AS VARCHAR) AS written, CAST(p_partkey AS DECIMAL(20,0)) AS wide FROM part")
 def exact_casts(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")

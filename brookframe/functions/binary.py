@@ -34,6 +34,26 @@ def pack_headers(headers: Column) -> Column:
     return F.concat(int32(F.size(headers)), F.aggregate(F.transform(headers, one), F.lit(b""), lambda a, x: F.concat(a, x)))
 
 
+def unpack_headers(data: Column) -> Column:
+    """The array of (key, value) that :func:`pack_headers` packed; null stays null, and bytes that aren't such headers raise."""
+    n, size = read_int32(data, 1), F.length(data)
+
+    def step(acc: Column, _: Column) -> Column:
+        key = read_int32(data, acc["at"])
+        value = read_int32(data, acc["at"] + 4 + key.cast("int"))
+        start = acc["at"] + 8 + key.cast("int")
+        found = F.struct(F.decode(F.substring(data, acc["at"] + 4, key.cast("int")), "UTF-8").alias("key"), F.when(value >= 0, F.substring(data, start, value.cast("int"))).alias("value"))
+        after = start + F.greatest(value, F.lit(0)).cast("int")
+        right = acc["right"] & F.coalesce((key >= 0) & (value >= -1) & (after <= size + 1), F.lit(False))
+        return F.when(right, F.struct(after.alias("at"), right.alias("right"), F.concat(acc["out"], F.array(found)).alias("out"))).otherwise(F.struct(acc["at"].alias("at"), F.lit(False).alias("right"), acc["out"].alias("out")))
+
+    none = F.struct(F.lit(5).alias("at"), F.lit(True).alias("right"), F.array().cast(f"array<{HEADER}>").alias("out"))
+    walk = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), none, step)
+    counted = F.coalesce((size >= 4) & (n >= 0) & (n <= F.floor((size - 4) / 8) + 1), F.lit(False))
+    read = F.transform(F.array(F.when(counted, walk)), lambda w: F.when(w["right"] & (w["at"] == size + 1), w["out"]).otherwise(F.raise_error(F.lit("not packed headers"))))
+    return F.when(data.isNotNull(), F.when(counted, F.get(read, F.lit(0))).otherwise(F.raise_error(F.lit("not packed headers"))))
+
+
 def frame(schema_id: Column, body: Column) -> Column:
     """A zero byte, the schema's id in four bytes, the body."""
     return F.concat(F.lit(b"\0"), int32(schema_id), body)
@@ -52,8 +72,17 @@ def body(data: Column) -> Column:
 
 
 def _murmur2(keys: pd.Series) -> np.ndarray:
-    """32-bit murmur2 of byte strings, as topics deal keys: all keys advance four bytes at a time."""
-    data = [k if k is not None else b"" for k in keys]
+    """32-bit murmur2 of byte strings, as topics deal keys. Keys of about one length are hashed together, so a long key doesn't widen all others."""
+    data = np.array([k if k is not None else b"" for k in keys], object)
+    kinds = np.array([(len(k) + 3).bit_length() for k in data], np.int64)
+    out = np.zeros(len(data), np.int32)
+    for kind in np.unique(kinds):
+        out[kinds == kind] = _murmur2_of(data[kinds == kind])
+    return out
+
+
+def _murmur2_of(data: np.ndarray) -> np.ndarray:
+    """All keys advance four bytes at a time, padded to the longest."""
     length = np.array([len(k) for k in data], np.int64)
     width = -(-max(int(length.max(initial=0)), 1) // 4) * 4
     rows = np.frombuffer(b"".join(k.ljust(width, b"\0") for k in data), np.uint8).reshape(len(data), width).astype(np.uint32)

@@ -26,8 +26,14 @@ def _text_schema(schema: T.StructType) -> T.StructType:
 
 
 def json_decode(records: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
-    """One row per record: an object's fields as columns. A value that isn't such an object, or a null in a field that is required, raises."""
-    parsed = F.from_json(F.col(value).cast("string"), _text_schema(schema), {"mode": "FAILFAST"})
+    """One row per record: an object's fields as columns. A value that isn't such an object, or a null in a field that is required, raises.
+
+    With a schema of one column named ``value``, a number, text, truth value or array stands for itself (an array as JSON text).
+    """
+    text = F.col(value).cast("string")
+    if schema.names == ["value"]:
+        text = F.when(text.rlike(r"^\s*\{"), text).otherwise(F.concat(F.lit('{"value":'), text, F.lit("}")))
+    parsed = F.from_json(text, _text_schema(schema), {"mode": "FAILFAST"})
     rest = [c for c in records.columns if c != value]
     rows = records.select(*rest, parsed.alias("_json"))
 
@@ -43,7 +49,7 @@ def json_decode(records: DataFrame, schema: T.StructType, value: str = "value")
 
 
 def json_encode(rows: DataFrame, json_columns: tuple[str, ...] = ()) -> DataFrame:
-    """A ``value`` column with the payload as JSON; texts in ``json_columns`` are JSON already and are embedded. Metadata stays beside it."""
+    """A ``value`` column with the payload as JSON; texts in ``json_columns`` are JSON already and are embedded; a single column named ``value`` is written without its name. Metadata stays beside it."""
     payload = to_payload(rows)
 
     def written(c: str, f: T.StructField) -> Column:
@@ -52,6 +58,8 @@ def json_encode(rows: DataFrame, json_columns: tuple[str, ...] = ()) -> DataFram
         return (F.base64(F.col(f"`{c}`")) if isinstance(f.dataType, T.BinaryType) else F.col(f"`{c}`")).alias(f.name)
 
     body = F.to_json(F.struct(*(written(c, f) for c, f in zip(payload_names(rows), payload.schema.fields))))
+    if payload_names(rows) == ["value"]:
+        body = F.coalesce(F.nullif(F.regexp_extract(body, r'(?s)^\{"value":(.*)\}$', 1), F.lit("")), F.lit("null"))
     return rows.select(body.alias("value"), *(c for c in (*RESERVED, BATCH) if c in rows.columns))
 
 

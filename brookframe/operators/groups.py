@@ -120,6 +120,13 @@ def group_by(df: DataFrame, keys: list[str], aggs: list[Agg], by_batch: bool = F
     return grouped.select(*keys, *(a.final(df, F.col(a.name)).alias(a.name) for a in aggs))
 
 
+def first_appearance(df: DataFrame, keys: list[str], aggs: list[Agg]) -> DataFrame:
+    """:func:`group_by` with ``__first``, the least offset at which a group appears in its partition; sort by it where the order of groups is seen."""
+    by = list(dict.fromkeys([PARTITION, *keys]))
+    grouped = df.groupBy(*by).agg(*(a.partial(df).alias(a.name) for a in aggs), F.min("__offset").alias("__first"))
+    return grouped.select(*keys, "__first", *(a.final(df, F.col(a.name)).alias(a.name) for a in aggs))
+
+
 def with_window(df: DataFrame, size: int) -> DataFrame:
     """Adds the bounds of the tumbling window of each row; a null timestamp raises."""
     ts = require(F.coalesce(TIME, F.lit(0)), F.col(TIME).isNotNull(), "a row has no timestamp")

@@ -10,10 +10,15 @@ from brookframe.operators.groups import PARTITION, TIME
 from brookframe.sources.topics import BATCH, RESERVED, original_name, payload_names
 
 
+def _meta(prefix: str, name: str) -> str:
+    """Where a side's metadata is kept meanwhile; apart from a payload column that is named like metadata."""
+    return f"meta of {prefix}{name}"
+
+
 def _sided(df: DataFrame, prefix: str, key: str) -> DataFrame:
     names = {c: prefix + original_name(df, c) for c in payload_names(df)}
     meta = [c for c in (*RESERVED, BATCH) if c in df.columns]
-    return df.select(F.col(f"`{key}`").alias("k"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()), *(F.col(c).alias(f"{prefix}{c}") for c in meta))
+    return df.select(F.col(f"`{key}`").alias("k"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()), *(F.col(c).alias(_meta(prefix, c)) for c in meta))
 
 
 def windowed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, window: int, left_prefix: str = "left_", right_prefix: str = "right_", by_batch: bool = False) -> DataFrame:
@@ -39,7 +44,7 @@ def windowed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     if len(set(shown)) < len(shown):
         raise ValueError("both sides give a column of one name; choose other prefixes")
     meta = [c for c in RESERVED if c in left.columns]
-    lt, rt, lp, rp = f"{left_prefix}{TIME}", f"{right_prefix}{TIME}", f"{left_prefix}{PARTITION}", f"{right_prefix}{PARTITION}"
+    lt, rt, lp, rp = _meta(left_prefix, TIME), _meta(right_prefix, TIME), _meta(left_prefix, PARTITION), _meta(right_prefix, PARTITION)
     slice_ = max(window, 1)
     if family(left.schema[left_key].dataType) != family(right.schema[right_key].dataType):
         a = a.filter(F.lit(False))
@@ -50,7 +55,7 @@ def windowed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     on = (F.col("k") == F.col("rk")) & (F.col(lp) == F.col(rp)) & (a["slice"] == b["slice"]) & (distance(F.col(lt), F.col(rt)) <= window)
     pairs = a.join(b, on)
     if by_batch:
-        lb, rb = f"{left_prefix}{BATCH}", f"{right_prefix}{BATCH}"
+        lb, rb = _meta(left_prefix, BATCH), _meta(right_prefix, BATCH)
         both = left.select(PARTITION, BATCH, TIME, F.lit(True).alias("l")).unionByName(right.select(PARTITION, BATCH, TIME, F.lit(False).alias("l")))
         tops = both.groupBy(PARTITION, BATCH).agg(F.max(TIME).alias("t"), F.max(F.when(F.col("l"), F.col(TIME))).alias("lmax"), F.max(F.when(~F.col("l"), F.col(TIME))).alias("rmax"))
         clock = tops.withColumn("stream_time", F.max("t").over(Window.partitionBy(PARTITION).orderBy(BATCH).rowsBetween(Window.unboundedPreceding, 0)))
@@ -60,5 +65,5 @@ def windowed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
         pairs = pairs.join(old, (F.col(lp) == F.col("op")) & (F.least(lb, rb) == F.col("ob"))).join(now, (F.col(lp) == F.col("np")) & (when == F.col("nb")))
         older = F.when(F.col(lb) < F.col(rb), F.col("lmax")).otherwise(F.col("rmax"))
         pairs = pairs.filter((F.col(lb) == F.col(rb)) | (older >= F.col("stream_time") - window))
-        return pairs.select(*shown, *(F.col(f"{left_prefix}{c}").alias(c) for c in meta), when.alias(BATCH))
-    return pairs.select(*shown, *(F.col(f"{left_prefix}{c}").alias(c) for c in meta))
+        return pairs.select(*shown, *(F.col(_meta(left_prefix, c)).alias(c) for c in meta), when.alias(BATCH))
+    return pairs.select(*shown, *(F.col(_meta(left_prefix, c)).alias(c) for c in meta))

@@ -6,7 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from brookframe.functions.exact import require
 from brookframe.operators import groups, joins, rows
 from brookframe.sources.topics import merge
 
@@ -119,7 +121,10 @@ class Topology:
                 out[n.name] = n.make(*(out[p.name] for p in n.parents))
         return out
 
-    def run(self, topics: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """What each sink gets, by its name, over bounded inputs."""
+    def run(self, topics: dict[str, DataFrame], partition: int | None = None) -> dict[str, DataFrame]:
+        """What each sink gets, by its name, over bounded inputs. With ``partition``, all records must be of that partition; one that isn't raises."""
+        if partition is not None:
+            own = require(F.col(groups.PARTITION), F.col(groups.PARTITION) == partition, f"a record is not of partition {partition}")
+            topics = {name: df.withColumn(groups.PARTITION, own) for name, df in topics.items()}
         frames = self.frames(topics)
         return {n.name: frames[n.name] for n in self.nodes if n.kind in ("sink", "pass") and n.name in frames}

@@ -256,3 +256,40 @@ def test_processors(spark, tmp_path):
     for r in spark.table("totals").collect():
         best[r.p] = max(best.get(r.p, 0), r.total)
     assert best == {0: 11, 1: 2}
+
+
+def test_headers_unpack_and_malformed_ones_raise(spark):
+    def read(data):
+        return spark.createDataFrame([(bytearray(data) if data is not None else None,)], "h binary").select(binary.unpack_headers(F.col("h")).alias("h")).first().h
+
+    assert read(None) is None and read(b"\0\0\0\0") == []
+    two = b"\0\0\0\2" + b"\0\0\0\1a" + b"\0\0\0\2xy" + b"\0\0\0\0" + b"\xff\xff\xff\xff"
+    assert [(x.key, None if x.value is None else bytes(x.value)) for x in read(two)] == [("a", b"xy"), ("", None)]
+    for bad in (b"", b"\0\0\0", b"\0\0\0\1", two[:-1], two + b"z", b"\xff\xff\xff\xff", b"\0\0\0\1\0\0\0\1a\xff\xff\xff\xfe", b"\0\0\0\1\xff\xff\xff\xff\0\0\0\0"):
+        with pytest.raises(Exception, match="not packed headers"):
+            read(bad)
+
+
+def test_a_run_of_one_partition_rejects_others(spark):
+    rows = spark.createDataFrame([(1, 0), (2, 1)], "x int, p int")
+    t = Topology()
+    t.sink("out", t.source("s", ["a"]), "b")
+    topic = topics.as_topic(rows, timestamp_ms=F.lit(0), partition=F.col("p"), offset=F.col("x"))
+    assert t.run({"a": topic.filter("__partition = 1")}, partition=1)["out"].count() == 1
+    with pytest.raises(Exception, match="not of partition 1"):
+        t.run({"a": topic}, partition=1)["out"].collect()
+
+
+def test_scalar_json_values(spark):
+    schema = T.StructType([T.StructField("value", T.StringType())])
+    df = spark.createDataFrame([(1, '"a b"'), (2, "[1,2]"), (3, '{"value":"c"}'), (4, "null")], "i int, value string")
+    assert [r.value for r in codecs.json_decode(df, schema).orderBy("i").collect()] == ["a b", "[1,2]", "c", None]
+    assert sorted(r.value for r in codecs.json_encode(spark.createDataFrame([("x",), (None,)], "value string")).collect()) == ['"x"', "null"]
+
+
+def test_a_long_key_hashes_as_alone(spark):
+    keys = [b"a", b"x" * 100_000, b"", b"21", b"foobar"]
+    df = spark.createDataFrame([(i, bytearray(k)) for i, k in enumerate(keys)], "i int, k binary").coalesce(1)
+    got = {r.i: r.p for r in df.select("i", binary.key_partition(F.col("k"), 1 << 30).alias("p")).collect()}
+    alone = {i: df.filter(F.col("i") == i).select(binary.key_partition(F.col("k"), 1 << 30).alias("p")).first().p for i in got}
+    assert got == alone
