@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from brookframe.llm import components, decontaminate, line_rules, line_templates, lsh_forest, packing, paragraphs, queries, secrets, url_lm
+from brookframe.llm import brown_lm, components, decontaminate, line_rules, line_templates, lsh_forest, packing, paragraphs, queries, secrets, url_lm
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 Q = queries.queries()
@@ -338,6 +338,53 @@ def test_op3_base_and_held_out(spark, sf, docs):
     assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
+def test_exchange_gains_are_exact_changes():
+    rng = np.random.default_rng(3)
+    n, k = 9, 4
+    bigrams = rng.integers(0, 6, (n, n)).astype(float)
+    of = rng.integers(0, k, n)
+
+    def counts(classes):
+        m = np.zeros((k, k))
+        np.add.at(m, (classes[:, None].repeat(n, 1), classes[None].repeat(n, 0)), bigrams)
+        return m
+
+    right = np.stack([np.bincount(of, bigrams[u], minlength=k) for u in range(n)])
+    left = np.stack([np.bincount(of, bigrams[:, u], minlength=k) for u in range(n)])
+    gains = brown_lm.exchange_gains(counts(of), of, right, left, np.diag(bigrams).copy())
+    for u in range(n):
+        for b in range(k):
+            moved = of.copy()
+            moved[u] = b
+            assert gains[u, b] == pytest.approx(brown_lm._likelihood(counts(moved)) - brown_lm._likelihood(counts(of)), abs=1e-8)
+
+
+def test_exchange_finds_the_classes_that_made_the_text(spark):
+    """Words of three kinds follow each other by rules; they end up in classes of one kind each, and every round raises the likelihood."""
+    rng = random.Random(71)
+    kinds = [[f"{x}{i}" for i in range(30)] for x in "abc"]
+    after = {0: [1, 1, 2], 1: [2, 2, 0], 2: [0, 0, 0, 1]}
+    texts = []
+    for _ in range(300):
+        at, w = rng.randrange(3), []
+        for _ in range(40):
+            w.append(rng.choice(kinds[at]))
+            at = rng.choice(after[at])
+        texts.append((" ".join(w),))
+    df = spark.createDataFrame(texts, "text string")
+    known = brown_lm.word_counts(df).filter(f"word <> {int(brown_lm.END.astype(np.int64))}").collect()
+    units = brown_lm._Units(np.sort(np.array([r.word for r in known], np.int64).view(np.uint64)))
+    totals = np.zeros(len(units))
+    totals[brown_lm.ENDINGS + 1 :] = 1
+    of, m, history = brown_lm.exchange(brown_lm.unit_bigrams(df, units).cache(), totals, k=4, rounds=12)
+    assert len(history) > 2 and history == sorted(history) and history[-1] == pytest.approx(brown_lm._likelihood(m))
+    name = {int(brown_lm.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])).hash[0]): w[0] for k in kinds for w in k}
+    by_class = collections.defaultdict(set)
+    for u, h in enumerate(units.words):
+        by_class[int(of[brown_lm.ENDINGS + 1 + u])].add(name[int(h)])
+    assert all(len(x) == 1 for x in by_class.values()) and len(by_class) == 3
+
+
 def test_op4_separates_rules_and_ratio_is_that_of_the_models(spark, sf, con):
     rows = Q["op4_url_lm"](spark, sf).collect()
     assert len(rows) == con.execute("SELECT count(*) FROM pages").fetchone()[0]
