@@ -554,6 +554,17 @@ def token_order(spark, d):
     return roles.newest_token(_log(spark, d))
 
 
+@query(TOPIC + "SELECT 'events-cut' AS grp, event_id % 50 AS epoch, min(__timestamp) OVER e AS triggered, max(__timestamp) OVER e AS completed, __partition AS partition, max(event_id) OVER p AS cut_offset FROM topic WINDOW e AS (PARTITION BY event_id % 50), p AS (PARTITION BY event_id % 50, __partition) QUALIFY row_number() OVER (PARTITION BY event_id % 50, __partition ORDER BY event_id) = 1")
+def cut_decode(spark, d):
+    """Cuts as records of the manifest's wire format, and read again."""
+    each = topic(spark, d).groupBy((F.col("event_id") % 50).alias("epoch"), "__partition").agg(F.max("event_id").alias("cut_offset"), F.min("__timestamp").alias("first"), F.max("__timestamp").alias("last"))
+    entry = F.struct(F.col("__partition").alias("partition"), "cut_offset")
+    whole = each.groupBy("epoch").agg(F.array_sort(F.collect_list(entry)).alias("offsets"), F.min("first").alias("first"), F.max("last").alias("last"))
+    key, value = cuts.encode_cut(F.lit("events-cut"), F.col("epoch"), F.col("first"), F.col("last"), F.lit(0), F.lit("events"), F.col("offsets"))
+    read = whole.select(key.alias("key"), value.alias("value")).select(cuts.decode_cut(F.col("key"), F.col("value")).alias("c"))
+    return read.select("c.grp", "c.epoch", "c.triggered", "c.completed", F.explode("c.offsets").alias("o")).select("grp", "epoch", "triggered", "completed", "o.partition", "o.cut_offset")
+
+
 @query("SELECT event_id, CAST(user_id AS INTEGER) AS schema_id, props AS body FROM events")
 def wire_schema_id(spark, d):
     framed = _records(spark, d).withColumn("value", binary.frame(F.decode("key", "UTF-8").cast("int"), F.col("value")))

@@ -293,3 +293,23 @@ def test_a_long_key_hashes_as_alone(spark):
     got = {r.i: r.p for r in df.select("i", binary.key_partition(F.col("k"), 1 << 30).alias("p")).collect()}
     alone = {i: df.filter(F.col("i") == i).select(binary.key_partition(F.col("k"), 1 << 30).alias("p")).first().p for i in got}
     assert got == alone
+
+
+def test_cut_records_are_read_by_their_layout(spark):
+    """The bytes are fixed values of the wire format."""
+    key = bytes.fromhex("00000002000a6f72646572732d6375740000000000000007")
+    value = bytes.fromhex("0000000001918435bd00000001918435bd2a000000000100066f72646572730000000200000000000000000000040000000001000000000000080000000000")
+
+    def read(k, v):
+        row = spark.createDataFrame([(bytearray(k), None if v is None else bytearray(v))], "k binary, v binary")
+        return row.select(cuts.decode_cut(F.col("k"), F.col("v")).alias("c")).first().c
+
+    c = read(key, value)
+    assert (c.grp, c.epoch, c.triggered, c.completed, c.status, c.missing) == ("orders-cut", 7, 1724500000000, 1724500000042, 0, [])
+    assert [tuple(o) for o in c.offsets] == [("orders", 0, 1024), ("orders", 1, 2048)]
+    missing = value[:-4] + bytes.fromhex("00000001" "0001" "61" "00000003")
+    assert [tuple(m) for m in read(key, missing).missing] == [("a", 3)]
+    assert read(key, None) is None and read(key, b"") is None and read(key[:3] + b"\1" + key[4:], value) is None
+    for k, v in ((key[:-1], value), (key + b"x", value), (b"\0\1" + key[2:], value), (key, value[:-1]), (key, value + b"x"), (key, value[:10]), (key, b"\0\1" + value[2:]), (key, value[:18] + b"\5" + value[19:]), (key, value[:19] + b"\x7f\xff\xff\xff" + value[23:])):
+        with pytest.raises(Exception, match="not the (key|value)"):
+            read(k, v)
