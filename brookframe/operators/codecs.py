@@ -126,7 +126,9 @@ def blob_encode(rows: DataFrame, most: int = MOST_RECORD) -> DataFrame:
     """
     names = payload_names(rows)
     keep = ("__key", "__timestamp", "__headers", "__partition")
-    ordered = rows.select(*names, *keep, BATCH, "__offset").repartition("__partition", BATCH).sortWithinPartitions("__partition", BATCH, "__offset").drop("__offset")
+    # by number, so that packing, which takes longer than its few bytes tell, isn't put together in few tasks
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.select(*names, *keep, BATCH, "__offset").repartition(tasks, "__partition", BATCH).sortWithinPartitions("__partition", BATCH, "__offset").drop("__offset")
 
     def split(part: pa.Table | pa.RecordBatch) -> list[tuple[bytes, int]]:
         data = _ipc(part)
