@@ -98,7 +98,7 @@ def ipc_decode(records: DataFrame, schema: T.StructType) -> DataFrame:
                 counts.append(rows.num_rows)
             if streams:
                 at = pa.array(np.repeat(np.arange(len(counts)), counts))
-                whole = pa.concat_tables(streams)
+                whole = pa.concat_tables(streams).combine_chunks()  # else each stream stays a batch of its own
                 yield from pa.Table.from_arrays([*whole.columns, *(batch.column(c).take(at) for c in meta)], [*target.names, *meta]).to_batches()
 
     return records.mapInArrow(run, out)
