@@ -47,7 +47,8 @@ class ByteBpe:
         for at, merge in enumerate(spec["model"]["merges"]):
             if vocab["".join(merge.split(" ") if isinstance(merge, str) else merge)] != 256 + at:
                 raise ValueError(f"{path}: ids don't follow the order of merges")
-        self.encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes(of[c] for c in t): i for t, i in vocab.items()}, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes(of[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
+        self.encode, self.encode_bytes = encoding.encode_ordinary, encoding._encode_single_piece
         self.first, self.later = _Memory(self.encode, ""), _Memory(self.encode, " ")
 
     def ids(self, text: str) -> bytes:

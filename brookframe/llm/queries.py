@@ -79,6 +79,17 @@ def op5_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from brookframe.llm.token_prefixes import n_tokens, with_prefix_counts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    counted = with_prefix_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = n_tokens(F.col("prefix_tokens")).cast("long")
+    return counted.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > 512).alias("over_limit"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
