@@ -15,8 +15,8 @@ from __future__ import annotations
 import functools
 import json
 from array import array
+from operator import sub
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -31,19 +31,20 @@ SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
 _SPACE = regex.compile(f"[{SPACES}]")
 _IRREGULAR = regex.compile(rf"[{SPACES}]{{2}}|(?![ \n])[{SPACES}]")
-_REMEMBERED, _LONGEST_REMEMBERED = 300_000, 64
+#: Words and beginnings of words that a worker remembers, about 250 and 100 MB, and their longest.
+_WORDS, _REMEMBERED, _LONGEST_REMEMBERED = 1_000_000, 250_000, 64
 #: Characters of text in one Arrow batch of results, unless one text alone has more.
 _BATCH = 1 << 20
 
 
 class _Memory(dict):
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int = _REMEMBERED):
+        self.make, self.most = make, most
 
     def __missing__(self, key):
         value = self.make(key)
         if isinstance(key, int) or len(key) <= _LONGEST_REMEMBERED:
-            if len(self) >= _REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = value
         return value
@@ -68,14 +69,13 @@ class PrefixCounts:
         encode = ByteBpe(path).encode_bytes
         # an entry that its own merges don't arrive at is never a token
         self.ids = {b: i for i, b in self.bytes_of.items() if encode(b) == [i]}
-        self.entries = ahocorasick.Automaton()
-        for data, i in self.ids.items():
-            self.entries.add_word(data.decode("latin-1"), (len(data), i))
-        self.entries.make_automaton()
-        self.beside = _Memory(lambda pair: self._stays(pair >> 32, pair & 0xFFFFFFFF))
+        #: Ids of entries, and -1 for what entries end with.
+        self.ending = {data[i:]: -1 for data in self.ids for i in range(len(data))} | self.ids
+        self.beside = _Memory(lambda pair: self._stays(pair >> 32, pair & 0xFFFFFFFF), 2 * _REMEMBERED)
+        self.known: dict[bytes, tuple[list[int], list[int]]] = {}
         self.piece = _Memory(self._of_piece)
-        self.first = _Memory(self._of_unit)
-        self.later = _Memory(lambda word: self._of_unit(" " + word))
+        self.first = _Memory(self._of_word)
+        self.later = _Memory(lambda word: self._of_word(" " + word), _WORDS)
 
     def _stays(self, left: int, right: int) -> bool:
         """Whether the bytes of two tokens in a row are encoded as these two: no merge across their border comes before the merges inside that close it.
@@ -98,40 +98,53 @@ class PrefixCounts:
                 before, right = right + 1, inner_right[0]
 
     def _of_bytes(self, data: bytes) -> list[int]:
-        """The number of tokens of the first 1, 2, ... bytes of a piece. All entries that end at a place are tried, the longest first; exactly one fits."""
-        counts, last = [0] * (len(data) + 1), [0] * (len(data) + 1)
-        beside = self.beside
-        for end, (n, token) in self.entries.iter(data.decode("latin-1")):
-            end += 1
-            if not counts[end] and (n == end or beside[last[end - n] << 32 | token]):
-                counts[end], last[end] = counts[end - n] + 1, token
-        return counts[1:]
+        """The number of tokens of the first 0, 1, 2, ... bytes of a piece. Words that begin alike share what is known of their beginning.
+
+        Of all entries that end at a place exactly one fits; the longest is tried first.
+        """
+        ending, beside, known, size = self.ending, self.beside, self.known, len(data)
+        at, counts, last = 0, [0], [0]
+        if short := size <= _LONGEST_REMEMBERED:
+            if len(known) > _REMEMBERED:
+                known.clear()
+            at = size
+            while at and data[:at] not in known:
+                at -= 1
+            if at:
+                counts, last = known[data[:at]]
+                if at < size:
+                    counts, last = counts.copy(), last.copy()
+        for end in range(at + 1, size + 1):
+            start, found = end - 1, []
+            while start >= 0 and (token := ending.get(data[start:end])) is not None:
+                if token >= 0:
+                    found.append((start, token))
+                start -= 1
+            for start, token in reversed(found):
+                if not start or beside[last[start] << 32 | token]:
+                    counts.append(counts[start] + 1)
+                    last.append(token)
+                    break
+        if short and at < size:
+            for end in range(at + 1, size):
+                known[data[:end]] = (counts[: end + 1], last[: end + 1])
+            known[data] = (counts, last)
+        return counts
 
     def _of_piece(self, piece: str) -> bytes:
-        """Counts by character, as 32-bit integers, of a text that the pattern doesn't cut."""
+        """How the count changes with each character of a text that the pattern doesn't cut, in signed bytes: a character adds at most four tokens, and the token that it completes replaces fewer than its bytes."""
         data = piece.encode("utf-8", "surrogatepass")
         counts = self._of_bytes(data)
         if len(data) > len(piece):
-            ends = np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[1:], len(data)) - 1
-            counts = np.asarray(counts)[ends].tolist()
-        if len(piece) == 3 and piece[0] == "'":
-            if PIECE.match(piece[:2]).end() == 1:  # 'r of 're: an apostrophe and a letter
-                counts[1] = 2
-        return array("i", counts).tobytes()
-
-    def _of_unit(self, text: str) -> bytes:
-        """Counts of any text without strings of special tokens."""
-        pieces = PIECE.findall(text)
-        if len(pieces) == 1:
-            return self._of_piece(text)
-        out = _laid([self.piece[p] for p in pieces])
-        at = base = 0
-        for p, following in zip(pieces, [*pieces[1:], ""]):
-            at += len(p)
-            if _SPACE.match(p[-1]) and _SPACE.match(following):
-                out[at] = base + np.frombuffer(self.piece[p + following[0]], np.int32)[-1]  # cut here, the white space is one run
-            base = int(out[at - 1])
-        return out.tobytes()
+            counts = [n for n, b in zip(counts, [*data, 0]) if b & 0xC0 != 0x80]
+        if len(piece) == 3 and piece[0] == "'" and PIECE.match(piece[:2]).end() == 1:
+            counts[2] = 2  # 'r of 're: an apostrophe and a letter
+        return array("b", map(sub, counts[1:], counts)).tobytes()
+
+    def _of_word(self, word: str) -> bytes:
+        if word.isascii() and word.lstrip(" ").isalpha():
+            return self._of_piece(word)
+        return b"".join([self.piece[p] for p in PIECE.findall(word)])
 
     def of(self, text: str) -> np.ndarray:
         """The count of each prefix of 1, 2, ... characters."""
@@ -142,13 +155,14 @@ class PrefixCounts:
             counts = self._plain(text[at : m.end() - 1])
             parts.append(counts + base)
             base += (int(counts[m.start() - at - 1]) if m.start() > at else 0) + 1
-            parts.append(np.array([base], np.int32))
+            parts.append(np.array([base]))
             at = m.end()
         return np.concatenate([*parts, self._plain(text[at:]) + base]).astype(np.int32)
 
     def _plain(self, text: str) -> np.ndarray:
+        """Counts of a text without strings of special tokens. White space that is regular cuts it into words before the pattern does."""
         if _IRREGULAR.search(text):
-            return np.frombuffer(self._of_unit(text), np.int32)
+            return self._irregular(text)
         units: list[bytes] = []
         for i, line in enumerate(text.split("\n")):
             if i:
@@ -157,19 +171,18 @@ class PrefixCounts:
             if head:
                 units.append(self.first[head])
             units.extend(map(self.later.__getitem__, rest))
-        return _laid(units)
-
-
-def _laid(parts: list[bytes]) -> np.ndarray:
-    """Counts of parts, one after another, as counts of the whole."""
-    if not parts:
-        return np.zeros(0, np.int32)
-    out = np.frombuffer(b"".join(parts), np.int32).copy()
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
-    ends = np.cumsum(sizes) - 1
-    totals = out[ends]
-    out += np.repeat(np.cumsum(totals, dtype=np.int32) - totals, sizes)
-    return out
+        return np.cumsum(np.frombuffer(b"".join(units), np.int8), dtype=np.int32)
+
+    def _irregular(self, text: str) -> np.ndarray:
+        pieces = PIECE.findall(text)
+        out = np.cumsum(np.frombuffer(b"".join([self.piece[p] for p in pieces]), np.int8), dtype=np.int32)
+        at = base = 0
+        for p, following in zip(pieces, [*pieces[1:], ""]):
+            at += len(p)
+            if _SPACE.match(p[-1]) and _SPACE.match(following):
+                out[at] = base + sum(array("b", self.piece[p + following[0]]))  # cut here, the white space is one run
+            base = int(out[at - 1])
+        return out
 
 
 @functools.cache
