@@ -90,11 +90,23 @@ def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > 512).alias("over_limit"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brookframe.llm.turn_repair import repair_digest
+
+    return repair_digest(_table(spark, sf_dir, "conversations"))
+
+
+def op13_gram_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brookframe.llm.spelling import damaged_words, spelling_variants
+
+    return spelling_variants(damaged_words(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from brookframe.llm import line_templates
+    from brookframe.llm import line_templates, spelling, turn_repair
 
-    return {"op2_line_templates": line_templates.SQL}
+    return {"op2_line_templates": line_templates.SQL, "op12_turn_repair": turn_repair.SQL, "op13_gram_variants": spelling.SQL}
