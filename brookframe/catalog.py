@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brookframe.functions import binary
 from brookframe.functions.exact import exact_cast, floor_to, unsigned
-from brookframe.operators import codecs
+from brookframe.operators import attempts, codecs
 from brookframe.operators.groups import COUNT, MAX, MIN, SUM, Agg, first_appearance, group_by, windowed_group_by
 from brookframe.operators.joins import windowed_join
 from brookframe.operators.rows import Derived, filter_rows, select_columns, with_derived
@@ -439,6 +439,27 @@ def dead_letter_partition_batch(spark, d):
     return letters.select("event_id", F.size("headers").alias("n_headers"), F.concat(last["key"], F.lit("="), F.decode(last["value"], "UTF-8")).alias("last_header"))
 
 
+BAD_JSON, BAD_HEADERS = "event_id % 4001 = 17", "event_id % 3001 = 11"
+
+
+@query(TOPIC + f""", bad AS (SELECT __partition, __batch, min(__offset) AS first FROM topic WHERE {BAD_JSON} OR {BAD_HEADERS} GROUP BY ALL)
+SELECT event_id, props AS value, first AS first_bad, CASE WHEN first % 4001 = 17 THEN 'MalformedValue: not JSON of the schema: ' || (SELECT left(e.props, -1) FROM topic e WHERE e.event_id = first) ELSE 'MalformedValue: not packed headers' END AS error, 'events/' || __partition || '/' || __offset AS source
+FROM topic JOIN bad USING (__partition, __batch) WHERE NOT ({BAD_JSON})
+UNION ALL SELECT event_id, left(props, -1), first, 'MalformedValue: not JSON of the schema: ' || (SELECT left(e.props, -1) FROM topic e WHERE e.event_id = first), 'events/' || __partition || '/' || __offset FROM topic JOIN bad USING (__partition, __batch) WHERE {BAD_JSON} AND first % 4001 = 17
+UNION ALL SELECT event_id, left(props, -1), first, 'MalformedValue: not packed headers', 'events/' || __partition || '/' || __offset FROM topic JOIN bad USING (__partition, __batch) WHERE {BAD_JSON} AND first % 4001 <> 17""")
+def dead_letter_decode(spark, d):
+    """Cut-off JSON and cut-off headers: each poll with one goes to the dead letters as it came, with the class and message of its first bad record."""
+    packed = binary.pack_headers(F.col("headers"))
+    cut_off = {"value": F.when(F.expr(BAD_JSON), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value")), "__headers": F.when(F.expr(BAD_HEADERS), F.substring(packed, F.lit(1), F.length(packed) - 1)).otherwise(packed)}
+    records = _records(spark, d).withColumns(cut_off).drop("headers").withColumn("raw", F.col("value"))
+    tried = attempts.try_json(attempts.try_headers(records), T.StructType([T.StructField("k", T.LongType(), False)]))
+    _, lost = runs.outcome(tried, runs.DEAD_LETTER)
+    letters = runs.dead_letters(lost, "events")
+    told = lambda back: F.decode(F.element_at("headers", -back)["value"], "UTF-8")
+    first = F.min(F.when(F.expr(f"{BAD_JSON} or {BAD_HEADERS}"), F.col("event_id"))).over(Window.partitionBy("__partition", "__batch"))
+    return letters.select("event_id", F.decode("raw", "UTF-8").alias("value"), first.alias("first_bad"), F.concat(told(5), F.lit(": "), told(4)).alias("error"), F.concat_ws("/", told(3), told(2), told(1)).alias("source"))
+
+
 @query(TOPIC + f""", polls AS (SELECT __partition, __batch, count(*) AS n, bool_or({FAILED}) AS bad FROM topic GROUP BY ALL)
 SELECT __partition, count(*) AS batches, CAST(sum(n) AS BIGINT) AS input, CAST(coalesce(sum(n) FILTER (NOT bad), 0) AS BIGINT) AS output, count(*) FILTER (bad) AS failures, CAST(coalesce(sum(n) FILTER (bad), 0) AS BIGINT) AS dead_letters FROM polls GROUP BY __partition""")
 def runner_metrics(spark, d):

@@ -36,6 +36,11 @@ def pack_headers(headers: Column) -> Column:
 
 def unpack_headers(data: Column) -> Column:
     """The array of (key, value) that :func:`pack_headers` packed; null stays null, and bytes that aren't such headers raise."""
+    return F.when(data.isNotNull(), F.coalesce(parsed_headers(data), F.raise_error(F.lit("not packed headers"))))
+
+
+def parsed_headers(data: Column) -> Column:
+    """The array that :func:`pack_headers` packed; null for null and for bytes that aren't such headers."""
     n, size = read_int32(data, 1), F.length(data)
 
     def step(acc: Column, _: Column) -> Column:
@@ -50,8 +55,7 @@ def unpack_headers(data: Column) -> Column:
     none = F.struct(F.lit(5).alias("at"), F.lit(True).alias("right"), F.array().cast(f"array<{HEADER}>").alias("out"))
     walk = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), none, step)
     counted = F.coalesce((size >= 4) & (n >= 0) & (n <= F.floor((size - 4) / 8) + 1), F.lit(False))
-    read = F.transform(F.array(F.when(counted, walk)), lambda w: F.when(w["right"] & (w["at"] == size + 1), w["out"]).otherwise(F.raise_error(F.lit("not packed headers"))))
-    return F.when(data.isNotNull(), F.when(counted, F.get(read, F.lit(0))).otherwise(F.raise_error(F.lit("not packed headers"))))
+    return F.get(F.transform(F.array(F.when(counted, walk)), lambda w: F.when(w["right"] & (w["at"] == size + 1), w["out"])), F.lit(0))
 
 
 def frame(schema_id: Column, body: Column) -> Column:
@@ -59,8 +63,12 @@ def frame(schema_id: Column, body: Column) -> Column:
     return F.concat(F.lit(b"\0"), int32(schema_id), body)
 
 
+def is_framed(data: Column) -> Column:
+    return F.coalesce((F.length(data) >= 5) & (F.substring(data, 1, 1) == F.lit(b"\0")), F.lit(False))
+
+
 def _framed(data: Column) -> Column:
-    return require(data, (F.length(data) >= 5) & (F.substring(data, 1, 1) == F.lit(b"\0")), "not a framed value")
+    return require(data, is_framed(data), "not a framed value")
 
 
 def schema_id(data: Column) -> Column:

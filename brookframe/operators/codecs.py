@@ -20,20 +20,27 @@ MOST_RECORD, MOST_GUNZIPPED = 900 * 1024, 16 << 20
 NESTED = (T.StructType, T.ArrayType, T.MapType)
 
 
-def _text_schema(schema: T.StructType) -> T.StructType:
+def text_schema(schema: T.StructType) -> T.StructType:
     """JSON holds binary as base64 and nested values as JSON text."""
     return T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, (T.BinaryType, *NESTED)) else f.dataType, True) for f in schema.fields])
 
 
+def is_object(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"^\s*\{"), F.lit(False))
+
+
+def json_text(value: Column, schema: T.StructType) -> Column:
+    """The object that a value is; with a schema of one column named ``value``, anything else is that column."""
+    text = value.cast("string")
+    return F.when(is_object(text), text).otherwise(F.concat(F.lit('{"value":'), text, F.lit("}"))) if schema.names == ["value"] else text
+
+
 def json_decode(records: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
     """One row per record: an object's fields as columns. A value that isn't such an object, or a null in a field that is required, raises.
 
     With a schema of one column named ``value``, a number, text, truth value or array stands for itself (an array as JSON text).
     """
-    text = F.col(value).cast("string")
-    if schema.names == ["value"]:
-        text = F.when(text.rlike(r"^\s*\{"), text).otherwise(F.concat(F.lit('{"value":'), text, F.lit("}")))
-    parsed = F.from_json(text, _text_schema(schema), {"mode": "FAILFAST"})
+    parsed = F.from_json(json_text(F.col(value), schema), text_schema(schema), {"mode": "FAILFAST"})
     rest = [c for c in records.columns if c != value]
     rows = records.select(*rest, parsed.alias("_json"))
 

@@ -43,6 +43,11 @@ def _listed(data: Column, start: Column, kind: str, entry) -> Column:
 def decode_cut(key: Column, value: Column) -> Column:
     """``grp, epoch, triggered, completed, status, offsets, missing`` of a record of the manifest; null for records that carry no cut
     (other kinds of key, and tombstones). Bytes of another layout raise."""
+    return F.get(F.transform(F.array(parsed_cut(key, value)), lambda p: F.when(p["wrong"].isNull(), p["cut"]).otherwise(F.raise_error(p["wrong"]))), F.lit(0))
+
+
+def parsed_cut(key: Column, value: Column) -> Column:
+    """``wrong``, what is not of the layout, or null, and ``cut``, as :func:`decode_cut` returns it."""
     name = _integer(key, 5, 2)
     key_right = (_integer(key, 1, 2) == VERSION) & (name >= 0) & (F.length(key) == name + 14)
     after_topics = lambda at: at + 2 + _integer(value, at, 2)
@@ -64,13 +69,14 @@ def decode_cut(key: Column, value: Column) -> Column:
                 F.decode(F.substring(key, F.lit(7), name), "UTF-8").alias("grp"), _integer(key, 7 + name, 8).alias("epoch"), _integer(value, 3, 8).alias("triggered"), _integer(value, 11, 8).alias("completed"),
                 _integer(value, 19, 1).alias("status"), offsets["out"].alias("offsets"), missing["out"].alias("missing"),
             )
-            return F.when(F.coalesce(right, F.lit(False)), cut).otherwise(F.raise_error(F.lit("not the value of a cut")))
+            return F.when(F.coalesce(right, F.lit(False)), cut)
 
         return F.get(F.transform(F.array(_listed(value, offsets["at"], MISSING, partition)), whole), F.lit(0))
 
     cut = F.get(F.transform(F.array(_listed(value, F.lit(20), OFFSETS, topic)), read), F.lit(0))
     carries = (_integer(key, 3, 2) == WIRE_CUT) & (F.coalesce(F.length(value), F.lit(0)) > 0)
-    return F.when(~F.coalesce(key_right, F.lit(False)), F.raise_error(F.lit("not the key of a manifest record"))).when(carries, cut)
+    wrong = F.when(~F.coalesce(key_right, F.lit(False)), "not the key of a manifest record").when(carries & cut.isNull(), "not the value of a cut")
+    return F.struct(wrong.alias("wrong"), F.when(carries, cut).alias("cut"))
 
 
 def encode_cut(grp: Column, epoch: Column, triggered: Column, completed: Column, status: Column, topic: Column, offsets: Column) -> tuple[Column, Column]:

@@ -5,34 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brookframe.operators.attempts import ERROR, ERROR_TYPE, failure
 from brookframe.sources.topics import BATCH
 
+FAILURE = "__failure"
+
 FAIL, SKIP, DEAD_LETTER = "fail", "skip", "dead_letter"
 
 
-def split_failures(records: DataFrame, failed: Column, policy: str = FAIL) -> tuple[DataFrame, DataFrame]:
-    """Good records and records given up. A bad record fails its whole poll of a partition, as its state is rolled back.
+def decided(records: DataFrame, policy: str = FAIL, error: str = ERROR) -> DataFrame:
+    """``records`` with ``__failure`` in place of ``__error``: what their poll of a partition failed with, which is the error of its first bad record.
 
-    Policy fail raises when the good records are read; with skip nothing is given up for dead letters.
+    A poll fails whole, as its state is rolled back. An error that trying again could help fails the run under every
+    policy, and any error does under policy fail, when the records are read. Only the few failed polls are joined to
+    the records; the records themselves are not shuffled for it, as long as those polls are few.
     """
     if policy not in (FAIL, SKIP, DEAD_LETTER):
         raise ValueError(f"unknown policy {policy}")
-    bad = F.coalesce(failed, F.lit(False))
-    if policy == FAIL:
-        good = records.filter(F.when(bad, F.raise_error(F.lit("a record failed")).cast("boolean")).otherwise(True))
-        return good, records.limit(0)
-    polls = records.filter(bad).select("__partition", BATCH).distinct()
-    good = records.join(polls, ["__partition", BATCH], "left_anti").select(*records.columns)
-    given_up = records.join(polls, ["__partition", BATCH], "left_semi").select(*records.columns)
-    return good, given_up if policy == DEAD_LETTER else records.limit(0)
-
-
-def dead_letters(given_up: DataFrame, topic: str, error_class: str, message: str, headers: str = "headers") -> DataFrame:
-    """Records with headers that say what failed and where they came from, after those that they had."""
-    own = {"error.class": F.lit(error_class), "error.message": F.lit(message), "source.topic": F.lit(topic), "source.partition": F.col("__partition").cast("string"), "source.offset": F.col("__offset").cast("string")}
+    first = F.min(F.struct("__offset", error))
+    polls = records.filter(F.col(error).isNotNull()).groupBy("__partition", BATCH).agg(first.alias("_first"))
+    failed = F.col(f"_first.{error}")
+    said = F.concat_ws(" ", failed["class"], F.lit("in partition"), F.col("__partition").cast("string"), F.lit("at offset"), F.col("_first.__offset").cast("string"), F.concat(F.lit("("), failed["message"], F.lit(")")))
+    raised = failed["retriable"] if policy != FAIL else F.lit(True)
+    polls = polls.select("__partition", BATCH, F.when(raised, F.raise_error(said).cast(ERROR_TYPE)).otherwise(failed).alias(FAILURE))
+    return records.drop(error).join(polls, ["__partition", BATCH], "left").select(*(c for c in records.columns if c != error), FAILURE)
+
+
+def outcome(records: DataFrame, policy: str = FAIL, error: str = ERROR) -> tuple[DataFrame, DataFrame]:
+    """Good records, and those given up with ``__failure``; with skip none are given up for dead letters."""
+    every = decided(records, policy, error)
+    given_up = every.filter(F.col(FAILURE).isNotNull())
+    return every.filter(F.col(FAILURE).isNull()).drop(FAILURE), given_up if policy == DEAD_LETTER else given_up.limit(0)
+
+
+def split_failures(records: DataFrame, failed: Column, policy: str = FAIL) -> tuple[DataFrame, DataFrame]:
+    """:func:`outcome` of records of which a condition says whether they are bad."""
+    marked = records.withColumn(ERROR, F.when(failed, failure("ValueError", "a record failed")))
+    good, given_up = outcome(marked, policy)
+    return good, given_up.drop(FAILURE)
+
+
+def dead_letters(given_up: DataFrame, topic: str, error_class: str | Column | None = None, message: str | Column | None = None, headers: str = "headers") -> DataFrame:
+    """Records with headers that say what failed and where they came from, after those that they had. Class and message are those of ``__failure`` unless given."""
+    said = {"class": error_class, "message": message}
+    told = {k: F.col(FAILURE)[k] if v is None else F.lit(v) if isinstance(v, str) else v for k, v in said.items()}
+    own = {"error.class": told["class"], "error.message": told["message"], "source.topic": F.lit(topic), "source.partition": F.col("__partition").cast("string"), "source.offset": F.col("__offset").cast("string")}
     more = F.array(*(F.struct(F.lit(k).alias("key"), F.encode(v, "UTF-8").alias("value")) for k, v in own.items()))
     kept = F.col(headers) if headers in given_up.columns else F.array()
-    return given_up.withColumn(headers, F.concat(F.coalesce(kept, F.array()).cast("array<struct<key:string,value:binary>>"), more))
+    return given_up.withColumn(headers, F.concat(F.coalesce(kept, F.array()).cast("array<struct<key:string,value:binary>>"), more)).drop(FAILURE)
 
 
 def next_offsets(records: DataFrame) -> DataFrame:
