@@ -17,6 +17,8 @@ from brookframe.operators.rows import Derived, filter_rows, select_columns, with
 from brookframe.plans import cuts, roles, runs
 from brookframe.plans.topology import Topology
 from brookframe.sources import topics
+from brookframe.sources.topic_log import append_log, read_log, stream_log
+from brookframe.streaming.folders import arrived, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -678,3 +680,32 @@ def avro_evolved_roundtrip(spark, d):
     rows = select_columns(topic(spark, d), "event_id", "event_type", "value")
     rows = with_derived(rows, Derived("event_id", F.col("event_id"), T.IntegerType()), Derived("value", F.nullif("value", F.lit(0.0)), T.DoubleType()))
     return avro_decode(avro_encode(rows, ORDER, 7), WIDER, {7: ORDER}).select("note", "event_id", "value", "__partition")
+
+
+APPENDED = TOPIC.replace("event_id AS __offset", "row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS __offset")
+
+
+def _payload(spark: SparkSession, d: str) -> DataFrame:
+    return topic(spark, d).select("event_id", "event_type", "value", "__timestamp", "__partition")
+
+
+@query(APPENDED + "SELECT event_id, event_type, __timestamp, __partition, __offset FROM topic WHERE __offset >= 20 AND (__partition <> 2 OR __offset < 90) AND __partition <> 3")
+def topic_log_range(spark, d):
+    """Events appended to a topic log, which gives them their offsets, and ranges of three partitions read from it."""
+    path = shared_folder(spark, "topic")
+    append_log(_payload(spark, d), path, "event_id", maxRecordsPerFile=5_000)
+    ranged = read_log(spark, path, startingOffsets='{"0": 20, "1": 20, "2": 20}', endingOffsets='{"2": 90}', partitions="[0, 1, 2]")
+    return ranged.select("event_id", "event_type", "__timestamp", "__partition", "__offset")
+
+
+@query(APPENDED.replace("ORDER BY event_id", "ORDER BY event_id >= (SELECT median(event_id) FROM events), event_id") + "SELECT event_id, value, __partition, __offset FROM topic WHERE __offset >= CASE __partition WHEN 1 THEN 37 ELSE 0 END")
+def topic_log_stream(spark, d):
+    """A stream over a topic log that stops, and goes on with its checkpoint after more was appended."""
+    path, out = shared_folder(spark, "topic"), shared_folder(spark, "streamed")
+    rows = _payload(spark, d)
+    middle = F.lit(rows.agg(F.median("event_id")).first()[0])
+    for half in (rows.filter(F.col("event_id") < middle), rows.filter(F.col("event_id") >= middle)):
+        append_log(half, path, "event_id")
+        stream = stream_log(spark, path, startingOffsets='{"1": 37}')
+        arrived(stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").start(f"{out}/rows"))
+    return spark.read.parquet(f"{out}/rows").select("event_id", "value", "__partition", "__offset")
