@@ -19,6 +19,7 @@ from brookframe.plans.topology import Topology
 from brookframe.sources import topics
 from brookframe.sources.topic_log import append_log, read_log, stream_log
 from brookframe.streaming.folders import arrived, shared_folder
+from brookframe.streaming.stream_time import grouped_by_stream_time, joined_by_stream_time, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -709,3 +710,39 @@ def topic_log_stream(spark, d):
         stream = stream_log(spark, path, startingOffsets='{"1": 37}')
         arrived(stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").start(f"{out}/rows"))
     return spark.read.parquet(f"{out}/rows").select("event_id", "value", "__partition", "__offset")
+
+
+def _in_two_runs(spark: SparkSession, d: str, made) -> DataFrame:
+    """What a stream over a topic log of whole polls gives: it is stopped after half of them, and goes on with its state."""
+    path, out = shared_folder(spark, "topic"), shared_folder(spark, "streamed")
+    rows = topic(spark, d).select("event_id", "user_id", "event_type", "value", "__timestamp", "__batch", "__partition")
+    middle = F.lit(rows.agg(F.expr("max(__batch) div 2")).first()[0])
+    for half in (rows.filter(F.col("__batch") <= middle), rows.filter(F.col("__batch") > middle)):
+        append_log(half, path, "event_id")
+        with stateful(spark):
+            query = made(lambda: stream_log(spark, path)).writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").start(f"{out}/rows")
+        arrived(query)
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query(SQL["window_retention_by_batch"])
+def window_stream_time(spark, d):
+    """The windows of each poll by the stream time of its partition, from a stream with state."""
+    aggs = [Agg(COUNT, "event_id", "n"), Agg(SUM, "event_id", "total")]
+    return _in_two_runs(spark, d, lambda events: grouped_by_stream_time(events(), ["event_type"], aggs, DAY, 2 * DAY))
+
+
+@query(SQL["group_cumulative_by_batch"])
+def group_stream_state(spark, d):
+    aggs = [Agg(COUNT, "event_id", "n"), Agg(SUM, "event_id", "total"), Agg(MAX, "value", "high")]
+    return _in_two_runs(spark, d, lambda events: grouped_by_stream_time(events(), ["event_type", "__partition"], aggs))
+
+
+@query(SQL["join_retention_by_batch"])
+def join_stream_time(spark, d):
+    """Clicks and purchases as two streams, joined with the rows that the partition's stream time retains."""
+    def made(events):
+        sides = (events().filter(F.col("event_type") == kind).select("event_id", "user_id", "value", "__timestamp", "__batch", "__partition", "__offset") for kind in ("click", "purchase"))
+        return joined_by_stream_time(*sides, "user_id", "user_id", DAY).select("left_event_id", "right_event_id", "__batch")
+
+    return _in_two_runs(spark, d, made)

@@ -75,7 +75,7 @@ class Agg:
         return value.cast(out)
 
 
-def _check(df: DataFrame, keys: list[str], windowed: bool) -> None:
+def check_groups(df: DataFrame, keys: list[str], windowed: bool) -> None:
     if not keys:
         raise ValueError("grouping needs at least one key")
     if missing := [k for k in keys if k not in df.columns]:
@@ -109,7 +109,7 @@ def stream_clock(df: DataFrame) -> DataFrame:
 
 def group_by(df: DataFrame, keys: list[str], aggs: list[Agg], by_batch: bool = False) -> DataFrame:
     """Groups of ``keys`` within each partition; the partition itself is only in the result if it is a key."""
-    _check(df, keys, False)
+    check_groups(df, keys, False)
     by = list(dict.fromkeys([PARTITION, *keys]))
     out = [*keys, *(a.name for a in aggs)]
     if by_batch:
@@ -139,7 +139,7 @@ def windowed_group_by(df: DataFrame, keys: list[str], size: int, aggs: list[Agg]
     retention = size if retention is None else retention
     if size < 1 or retention < size:
         raise ValueError("a window has at least 1 ms, and retention at least its size")
-    _check(df, keys, True)
+    check_groups(df, keys, True)
     by = list(dict.fromkeys([PARTITION, *keys])) + [START, END]
     out = [*keys, START, END, *(a.name for a in aggs)]
     rows = with_window(df, size)

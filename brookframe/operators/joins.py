@@ -21,6 +21,23 @@ def _sided(df: DataFrame, prefix: str, key: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("k"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()), *(F.col(c).alias(_meta(prefix, c)) for c in meta))
 
 
+def shown_names(left: DataFrame, right: DataFrame, left_prefix: str, right_prefix: str) -> list[str]:
+    return [f"{left_prefix}{original_name(left, c)}" for c in payload_names(left)] + [f"{right_prefix}{original_name(right, c)}" for c in payload_names(right)]
+
+
+def check_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, window: int, left_prefix: str, right_prefix: str) -> None:
+    if window < 0:
+        raise ValueError("a window is not negative")
+    if left is right:
+        raise ValueError("a node is not joined with itself")
+    for df, key in ((left, left_key), (right, right_key)):
+        if key not in df.columns:
+            raise ValueError(f"no column {key}")
+    shown = shown_names(left, right, left_prefix, right_prefix)
+    if len(set(shown)) < len(shown):
+        raise ValueError("both sides give a column of one name; choose other prefixes")
+
+
 def windowed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, window: int, left_prefix: str = "left_", right_prefix: str = "right_", by_batch: bool = False) -> DataFrame:
     """Pairs of one partition and key whose timestamps differ by at most ``window`` ms.
 
@@ -32,17 +49,9 @@ def windowed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     Rows meet by partition, key and time slice (each left row looks into its own slice and the two beside it), so a
     hot key is split along time instead of pairing all its rows.
     """
-    if window < 0:
-        raise ValueError("a window is not negative")
-    if left is right:
-        raise ValueError("a node is not joined with itself")
-    for df, key in ((left, left_key), (right, right_key)):
-        if key not in df.columns:
-            raise ValueError(f"no column {key}")
+    check_join(left, right, left_key, right_key, window, left_prefix, right_prefix)
     a, b = _sided(left, left_prefix, left_key), _sided(right, right_prefix, right_key)
-    shown = [f"{left_prefix}{original_name(left, c)}" for c in payload_names(left)] + [f"{right_prefix}{original_name(right, c)}" for c in payload_names(right)]
-    if len(set(shown)) < len(shown):
-        raise ValueError("both sides give a column of one name; choose other prefixes")
+    shown = shown_names(left, right, left_prefix, right_prefix)
     meta = [c for c in RESERVED if c in left.columns]
     lt, rt, lp, rp = _meta(left_prefix, TIME), _meta(right_prefix, TIME), _meta(left_prefix, PARTITION), _meta(right_prefix, PARTITION)
     slice_ = max(window, 1)
