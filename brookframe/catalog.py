@@ -415,12 +415,28 @@ def json_bridge_scalars(spark, d):
     return codecs.json_decode(written, T.StructType([T.StructField("value", T.LongType())])).select(F.col("__offset").alias("event_id"), "value")
 
 
-@query(TOPIC + """, k AS (SELECT *, user_id % 2 AS kk FROM topic), m AS (SELECT *, CASE WHEN kk = lag(kk) OVER p AND __timestamp // 86400000 = lag(__timestamp // 86400000) OVER p THEN 0 ELSE 1 END AS new
+RUNS = TOPIC + """, k AS (SELECT *, user_id % 2 AS kk FROM topic), m AS (SELECT *, CASE WHEN kk = lag(kk) OVER p AND __timestamp // 86400000 = lag(__timestamp // 86400000) OVER p THEN 0 ELSE 1 END AS new
   FROM k WINDOW p AS (PARTITION BY user_id % 3, __batch ORDER BY __offset)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id % 3, __batch ORDER BY __offset) AS run FROM m)
-SELECT CAST(user_id % 3 AS INTEGER) AS __partition, kk AS k, __timestamp // 86400000 * 86400000 AS __timestamp, CAST(count(*) AS INTEGER) AS n_rows FROM r GROUP BY user_id % 3, __batch, run, kk, __timestamp // 86400000""")
+"""
+
+
+@query(RUNS + """SELECT CAST(user_id % 3 AS INTEGER) AS __partition, kk AS k, __timestamp // 86400000 * 86400000 AS __timestamp, CAST(count(*) AS INTEGER) AS n_rows FROM r GROUP BY user_id % 3, __batch, run, kk, __timestamp // 86400000""")
 def blob_envelopes(spark, d):
-    rows = topic(spark, d).withColumns({"__partition": (F.col("user_id") % 3).cast("int"), "__key": F.encode((F.col("user_id") % 2).cast("string"), "UTF-8"), "__timestamp": floor_to(F.col("__timestamp"), DAY)})
-    return codecs.blob_encode(rows).select("__partition", F.decode("__key", "UTF-8").cast("long").alias("k"), "__timestamp", "n_rows")
+    return codecs.blob_encode(_runs(spark, d)).select("__partition", F.decode("__key", "UTF-8").cast("long").alias("k"), "__timestamp", "n_rows")
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """Events in runs of one key and day."""
+    return topic(spark, d).withColumns({"__partition": (F.col("user_id") % 3).cast("int"), "__key": F.encode((F.col("user_id") % 2).cast("string"), "UTF-8"), "__timestamp": floor_to(F.col("__timestamp"), DAY)})
+
+
+@query(RUNS + """, runs AS (SELECT user_id % 3 AS p, kk, __timestamp // 86400000 * 86400000 AS t, count(*) AS n FROM r GROUP BY user_id % 3, __batch, run, kk, __timestamp // 86400000), pieces AS (SELECT *, unnest(range((n + 2) // 3)) AS i FROM runs)
+SELECT CAST(p AS INTEGER) AS __partition, kk AS k, t AS __timestamp, CAST(least(3, n - 3 * i) AS INTEGER) AS n_rows FROM pieces""")
+def blob_greedy(spark, d):
+    """Under a cap that three rows just fit, each record takes as many rows of its run as it can."""
+    rows = select_columns(_runs(spark, d), "event_id")
+    cap = codecs.stream_bytes(T.StructType([rows.schema["event_id"]]), [(i,) for i in range(3)])
+    return codecs.blob_encode(rows, cap).select("__partition", F.decode("__key", "UTF-8").cast("long").alias("k"), "__timestamp", "n_rows")
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'view' THEN '' ELSE props END AS value FROM events")

@@ -86,6 +86,17 @@ def _ipc(batch: pa.RecordBatch | pa.Table) -> bytes:
     return out.getvalue()
 
 
+def _plain(schema: T.StructType) -> pa.Schema:
+    """The columns of a stream, without what Spark notes about them."""
+    return pa.schema([pa.field(f.name, f.type, f.nullable) for f in to_arrow_schema(schema)])
+
+
+def stream_bytes(schema: T.StructType, rows: list[tuple]) -> int:
+    """The bytes of an Arrow stream of these rows."""
+    target = _plain(schema)
+    return len(_ipc(pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(target)], schema=target)))
+
+
 def ipc_decode(records: DataFrame, schema: T.StructType) -> DataFrame:
     """Each ``value`` is an Arrow stream of any number of rows; they get their record's metadata. A stream of another schema raises."""
     target = to_arrow_schema(schema)
@@ -111,6 +122,27 @@ def ipc_decode(records: DataFrame, schema: T.StructType) -> DataFrame:
     return records.mapInArrow(run, out)
 
 
+def _longest(part: pa.RecordBatch, most: int) -> tuple[bytes, int]:
+    """The most of the first rows whose stream has at most ``most`` bytes, by halving what is left to choose from.
+
+    What can't fit by the bytes of its values alone isn't written out, so no try is much larger than a record.
+    """
+    best, low, high = (b"", 0), 1, part.num_rows
+    probe = min(high, max(1, most * high // max(part.nbytes, 1)))
+    while low <= high:
+        tried = part.slice(0, probe).take(pa.array(np.arange(probe)))  # a copy, as a slice drags along some of what is beside it
+        bitmaps = len(part.schema.names) * (probe // 8 + 64)  # they may be left out
+        data = _ipc(tried) if tried.nbytes - bitmaps <= most else b""
+        if data and len(data) <= most:
+            best, low = (data, probe), probe + 1
+        else:
+            high = probe - 1
+        probe = (low + high) // 2
+    if not best[1]:
+        raise ValueError(f"one row takes {len(_ipc(part.slice(0, 1)))} bytes, over {most}")
+    return best
+
+
 RUN = ("__partition", BATCH, "__key", "__timestamp", "__headers")
 
 
@@ -126,29 +158,33 @@ def _starts(batch: pa.RecordBatch, before: pa.RecordBatch | None) -> np.ndarray:
 
 
 def blob_encode(rows: DataFrame, most: int = MOST_RECORD) -> DataFrame:
-    """Packs runs of rows as Arrow streams of at most ``most`` bytes each; a run that is longer is halved until it fits, and one row over it raises.
+    """Packs runs of rows as Arrow streams of at most ``most`` bytes each; each takes as many of a run's next rows as fit, and one row over it raises.
 
     A run is consecutive rows of a poll that share key, timestamp and headers. A poll of a partition is one unit of
     work: its rows are sorted by offset in one task, which cuts the runs as the rows come by and holds one at a time.
     """
     names = payload_names(rows)
+    target = _plain(rows.select(*(F.col(f"`{c}`") for c in names)).schema)
     keep = ("__key", "__timestamp", "__headers", "__partition")
     # by number, so that packing, which takes longer than its few bytes tell, isn't put together in few tasks
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.select(*names, *keep, BATCH, "__offset").repartition(tasks, "__partition", BATCH).sortWithinPartitions("__partition", BATCH, "__offset").drop("__offset")
 
-    def split(part: pa.Table | pa.RecordBatch) -> list[tuple[bytes, int]]:
-        data = _ipc(part)
-        if len(data) <= most:
-            return [(data, part.num_rows)]
-        if part.num_rows == 1:
-            raise ValueError(f"one row takes {len(data)} bytes, over {most}")
-        half = part.num_rows // 2
-        return split(part.slice(0, half)) + split(part.slice(half))
+    def plain(part: pa.Table | pa.RecordBatch) -> pa.RecordBatch:
+        whole = pa.Table.from_arrays([part.column(c) for c in names], schema=target).combine_chunks()
+        return whole.to_batches()[0]
+
+    def split(part: pa.RecordBatch) -> list[tuple[bytes, int]]:
+        out, at = [], 0
+        while at < part.num_rows:
+            data, n = _longest(part.slice(at), most)
+            out.append((data, n))
+            at += n
+        return out
 
     def packed(run: list[pa.RecordBatch]) -> pa.RecordBatch:
         part = run[0] if len(run) == 1 else pa.Table.from_batches(run)
-        found = split(part.select(names))
+        found = split(plain(part))
         meta = run[0].select(keep).take(pa.array(np.zeros(len(found), np.int64)))
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), *meta.columns, pa.array([n for _, n in found], pa.int32())], ["value", *keep, "n_rows"])
 
@@ -163,7 +199,7 @@ def blob_encode(rows: DataFrame, most: int = MOST_RECORD) -> DataFrame:
                 run.append(batch.slice(0, int(ends[0])))
             if run and len(at):
                 yield packed(run)
-            whole, payload = at[:-1], batch.select(names)
+            whole, payload = at[:-1], plain(batch)
             found = [split(payload.slice(int(a), int(b - a))) for a, b in zip(whole, ends[1:-1])]
             meta = batch.select(keep).take(pa.array(np.repeat(whole, [len(x) for x in found]).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([v for x in found for v, _ in x], pa.binary()), *meta.columns, pa.array([n for x in found for _, n in x], pa.int32())], ["value", *keep, "n_rows"])

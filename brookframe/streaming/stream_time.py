@@ -96,6 +96,14 @@ class _Carried:
     def state(self) -> T.DataType:
         return {INTEGER: T.DecimalType(38, 0), REAL: T.DoubleType(), TEXT: T.StringType()}[self.form]
 
+    @property
+    def shown(self) -> T.DataType:
+        """Reals leave as text, as pandas hands NaN on as null."""
+        return T.StringType() if self.form == REAL else self.state
+
+    def show(self, value):
+        return str(value) if self.form == REAL and value is not None else value
+
     def partials(self, rows: pd.DataFrame, groups) -> list:
         """One value for each group, None where all are null."""
         if self.agg.how == COUNT:
@@ -135,7 +143,7 @@ class _Carried:
         return x if self.form != TEXT else Decimal(x) if isinstance(self.kind, T.DecimalType) else x.encode()
 
     def final(self, df: DataFrame) -> Column:
-        value, kind = F.col(self.name), self.kind
+        value, kind = F.col(self.name).cast(self.state), self.kind
         if self.agg.how != COUNT and self.agg.how != SUM:
             if isinstance(kind, T.DateType):
                 value = F.date_from_unix_date(value.cast("int"))
@@ -188,7 +196,7 @@ class _Windows(StatefulProcessor):
                     now[name] = tuple(values) if have is None else tuple(c.merged(a, b) for c, a, b in zip(self.carried, have, values))
                     self.groups.updateValue(name, now[name])
             if now:
-                out = pd.DataFrame([(*n, *v) for n, v in now.items()], columns=[*by, *(c.name for c in self.carried)], dtype=object)
+                out = pd.DataFrame([(*n, *(c.show(x) for c, x in zip(self.carried, v))) for n, v in now.items()], columns=[*by, *(c.name for c in self.carried)], dtype=object)
                 yield out.assign(p=int(key[0]), b=int(poll))
         self.time.update((int(time),))
 
@@ -207,7 +215,7 @@ def grouped_by_stream_time(stream: DataFrame, keys: list[str], aggs: list[Agg],
     texts = [_as_text(F.col(f"`{k}`"), stream.schema[k].dataType).alias(f"k{i}") for i, k in enumerate(keys)]
     batch = F.col(BATCH) if BATCH in stream.columns else F.lit(0).cast("long")
     slim = rows.select(F.col(PARTITION).alias("p"), batch.alias("b"), F.coalesce(TIME, F.lit(-(1 << 63))).alias("t"), *texts, *((F.col(START).alias("s"),) if size else ()), *(c for x in carried for c in x.columns()))
-    out = T.StructType([*(T.StructField(f"k{i}", T.StringType()) for i in range(len(keys))), *((T.StructField("s", T.LongType()),) if size else ()), *(T.StructField(c.name, c.state) for c in carried), T.StructField("p", T.IntegerType()), T.StructField("b", T.LongType())])
+    out = T.StructType([*(T.StructField(f"k{i}", T.StringType()) for i in range(len(keys))), *((T.StructField("s", T.LongType()),) if size else ()), *(T.StructField(c.name, c.shown) for c in carried), T.StructField("p", T.IntegerType()), T.StructField("b", T.LongType())])
     found = slim.groupBy("p").transformWithStateInPandas(_Windows(len(keys), carried, size, retention), out, "Append", "None")
     back = [_from_text(F.col(f"k{i}"), stream.schema[k].dataType).alias(k) for i, k in enumerate(keys)]
     bounds = [F.col("s").alias(START), (F.col("s") + size).alias(END)] if size else []

@@ -313,3 +313,20 @@ def test_cut_records_are_read_by_their_layout(spark):
     for k, v in ((key[:-1], value), (key + b"x", value), (b"\0\1" + key[2:], value), (key, value[:-1]), (key, value + b"x"), (key, value[:10]), (key, b"\0\1" + value[2:]), (key, value[:18] + b"\5" + value[19:]), (key, value[:19] + b"\x7f\xff\xff\xff" + value[23:])):
         with pytest.raises(Exception, match="not the (key|value)"):
             read(k, v)
+
+
+def test_blobs_take_as_many_rows_as_fit(spark):
+    """The longest prefix each time, also where rows differ much in size."""
+    rows = [(i, "x" * ((i * 37) % 90), 0, 0, i, 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "n long, t string, __partition int, __timestamp long, __offset long, __batch long").withColumns({"__key": F.lit(b"k"), "__headers": F.lit(None).cast("binary")})
+    schema = df.select("n", "t").schema
+    for cap in (700, 1500, 100_000):
+        got = [r.n_rows for r in codecs.blob_encode(df, cap).collect()]
+        want, at = [], 0
+        while at < len(rows):
+            n = max(k for k in range(1, len(rows) - at + 1) if codecs.stream_bytes(schema, [r[:2] for r in rows[at : at + k]]) <= cap)
+            want.append(n)
+            at += n
+        assert got == want
+    with pytest.raises(Exception, match="one row takes"):
+        codecs.blob_encode(df, 100).collect()
