@@ -1,7 +1,7 @@
 """Ids of a byte-level BPE vocabulary file of the ``tokenizers`` library, with each worker remembering its words.
 
-The file's vocabulary runs on ``tiktoken``'s merge loop, which gives the same ids several times as fast; strings of
-special tokens in a text are ordinary text.
+The file's vocabulary runs on ``tiktoken``'s merge loop, which gives the same ids several times as fast. A string of a
+special token in a text is that token, as the library has it, and cuts the text.
 """
 
 from __future__ import annotations
@@ -41,7 +41,9 @@ class ByteBpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = {s: array("I", [i]).tobytes() for s, i in special.items()}
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         of = _bytes_by_character()
         vocab = {token: i for token, i in spec["model"]["vocab"].items() if token not in special}
         for at, merge in enumerate(spec["model"]["merges"]):
@@ -52,7 +54,13 @@ class ByteBpe:
         self.first, self.later = _Memory(self.encode, ""), _Memory(self.encode, " ")
 
     def ids(self, text: str) -> bytes:
-        """The ids as 32-bit integers. Where single spaces and line feeds are the only white space, the pattern cuts before each and after each line feed, so words can be encoded one by one."""
+        """The ids as 32-bit integers."""
+        if any(s in text for s in self.special):
+            return b"".join(self.special[part] if part in self.special else self._plain(part) for part in self.at_special.split(text))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        """Where single spaces and line feeds are the only white space, the pattern cuts before each and after each line feed, so words can be encoded one by one."""
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _RARE.search(text):
             return array("I", self.encode(text)).tobytes()
         out = []

@@ -141,7 +141,6 @@ def test_components(spark):
 def test_op7_round_trip(spark, sf, docs):
     rows = Q["op7_complement_packing"](spark, sf).toPandas().sort_values(["doc_id", "piece"])
     encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode.encode_special_tokens = True
     of = dict(iter(rows.groupby("doc_id")))
     assert set(of) == set(docs)
     for d, text in docs.items():
@@ -162,9 +161,8 @@ def test_texts_tokenize_as_by_the_library():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     encode = Tokenizer.from_file(path)
-    encode.encode_special_tokens = True
     rng = random.Random(2)
-    texts = ["", " ", "\n", " a", "a ", "a\n", "\na", "a  b", "a\tb", "a \n b", "don't we'll", "x<|endoftext|>y", "é漢字  x", "1 22,333", "a b", "..  ..", "\x1f x\x00y"]
+    texts = ["", " ", "\n", " a", "a ", "a\n", "\na", "a  b", "a\tb", "a \n b", "don't we'll", "x<|endoftext|>y", "hello <|endoftext|> x", "<|endoftext|><|endoftext|>", "<|endoftext| >", "é漢字  x", "1 22,333", "a b", "..  ..", "\x1f x\x00y"]
     texts += ["".join(rng.choice(" \n\t'aZé9.,漢 s") for _ in range(rng.randrange(60))) for _ in range(500)]
     for t in texts:
         assert list(np.frombuffer(byte_bpe(path).ids(t), np.uint32)) == encode.encode(t, add_special_tokens=False).ids, repr(t)
