@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from brookframe.llm.components import components
 from brookframe.llm.linking import linked, shingle_sets
-from brookframe.llm.scratch import Scratch, cut
+from brookframe.llm.scratch import Scratch, cut, free_name
 
 TREES, DEPTH, SHALLOWEST, REACH = 20, 10, 4, 5
 #: Texts of a region that are compared each with each at once, and of a block of larger regions.
@@ -169,15 +169,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        sets = scratch.save(signatures(docs, k, trees, depth, keep))
+        # a class is named by a number of its own, as several can have one least doc_id
+        said = free_name(docs, "_said")
+        docs = docs.withColumn(said, F.xxhash64("text"))
+        sets = scratch.save(signatures(docs, k, trees, depth, (*keep, said)))
         key = ["n", "f1", "f2"]
-        classes = scratch.save(sets.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("id")))
-        rows = sets.join(classes.select(F.col("id").alias("doc_id"), *key), ["doc_id", *key], "left_semi")
-        members = scratch.save(regions(rows.select(F.col("doc_id").alias("id"), "signature").distinct(), trees, depth, shallowest))
+        least = sets.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min(F.struct("doc_id", said)).alias("least"))
+        classes = scratch.save(least.select(*key, "least.doc_id", f"least.{said}", F.monotonically_increasing_id().alias("id")))
+        rows = sets.join(classes, ["doc_id", said, *key]).select("id", "signature").distinct()
+        members = scratch.save(regions(rows, trees, depth, shallowest))
         pairs = scratch.save(forest_pairs(members, reach))
-        texts = docs.select(F.col("doc_id").alias("id"), "text")
+        # only the texts that are asked for are joined: their ids are first looked up among the classes
+        texts = docs.select("doc_id", said, "text").join(classes.select("doc_id", said, "id").hint("merge"), ["doc_id", said]).dropDuplicates(["doc_id", said, "id"]).select("id", "text")
         named = exhausted(scratch, members, linked(scratch, pairs, texts, k, percent), texts, k, percent)
-        of_class = classes.join(named, "id", "left").select(*key, F.coalesce("component", "id").alias("component"))
+        of_class = classes.join(named, "id", "left").select(*key, "doc_id", F.coalesce("component", "id").alias("c"))
+        first = of_class.groupBy("c").agg(F.min("doc_id").alias("component"))
+        of_class = scratch.save(of_class.join(first, "c").select(*key, "component"))
         out = sets.select("doc_id", *keep, *key).join(of_class, key, "left")
         component = F.coalesce("component", "doc_id")
         return cut(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), *keep))

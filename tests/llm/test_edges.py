@@ -164,3 +164,25 @@ def test_near_dedup_and_decontamination_judge_rows_of_one_id_by_their_own_texts(
     assert sorted(left, key=repr) == sorted([(1, a), (5, b), (6, leak), (6, "quite other words " * 5), (8, "x y z"), (None, b), (None, leak)], key=repr)
     left = [(r.doc_id, r.text) for r in stages["decontaminate"](spark, docs, sf).collect()]
     assert sorted(left, key=repr) == sorted([x for x in rows if x[1] != leak], key=repr)
+
+
+def test_classes_that_share_their_least_id_stay_apart(spark, sf):
+    """A near copy of one text of an id doesn't take the id's other texts along."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, f"{a} more"), (5, a), (5, b), (9, c), (5, a), (7, f"{c} more"), (7, f"{b} more")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in lsh_forest.near_duplicates(docs).collect())
+    assert out == sorted([(1, 57, 1, True), (5, 56, 1, False), (5, 56, 5, True), (9, 56, 7, False), (5, 56, 1, False), (7, 57, 7, True), (7, 57, 5, False)])
+    left = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf).collect()]
+    assert sorted(left) == sorted([(1, f"{a} more"), (5, b), (7, f"{c} more")])
+
+
+def test_packing_reads_special_tokens_as_the_library_does(spark):
+    import zlib
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["hello <|endoftext|> x", "<|endoftext|>", "a  <|endoftext|>\n<|endoftext|"]
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect():
+        ids = [*Tokenizer.from_file(path).encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
