@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brookframe.functions import binary
 from brookframe.functions.exact import exact_cast, floor_to, unsigned
-from brookframe.operators import attempts, codecs
+from brookframe.functions.tagged import tagged
+from brookframe.operators import attempts, codecs, groups, process
 from brookframe.operators.groups import COUNT, MAX, MIN, SUM, Agg, first_appearance, group_by, windowed_group_by
 from brookframe.operators.joins import windowed_join
+from brookframe.operators.json_schema import columns_of
 from brookframe.operators.rows import Derived, filter_rows, select_columns, with_derived
 from brookframe.plans import cuts, roles, runs
 from brookframe.plans.topology import Topology
@@ -762,3 +765,54 @@ def join_stream_time(spark, d):
         return joined_by_stream_time(*sides, "user_id", "user_id", DAY).select("left_event_id", "right_event_id", "__batch")
 
     return _in_two_runs(spark, d, made)
+
+
+@query(TOPIC + """SELECT '66' || ['0000000000000000', '8000000000000000', '7FF8000000000000', '3FF8000000000000', 'C024000000000000'][event_id % 5 + 1] AS tag, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM topic GROUP BY __partition, event_id % 5""")
+def group_by_tag(spark, d):
+    """Zeros of both signs, NaN and other doubles as keys by their bits."""
+    zero = F.element_at(F.array(*map(F.lit, [0.0, -0.0, float("nan"), 1.5, -10.0])), (F.col("event_id") % 5 + 1).cast("int"))
+    grouped = groups.group_by_tag(topic(spark, d).withColumn("x", zero), ["x"], [Agg(COUNT, "event_id", "n"), Agg(SUM, "event_id", "total")])
+    return grouped.select(F.hex(tagged(F.col("x"), T.DoubleType())).alias("tag"), "n", "total")
+
+
+@query(JOIN + f"SELECT l.event_id AS left_event_id, r.event_id AS right_event_id FROM l JOIN r ON l.user_id = r.user_id AND l.__partition = r.__partition AND abs(l.__timestamp - r.__timestamp) <= {HOUR}")
+def join_by_tag(spark, d):
+    """Decimals of different scales are one key by their value."""
+    left, right = _sides(spark, d)
+    left, right = (x.withColumn("user_id", (F.col("user_id") / 4).cast(kind)) for x, kind in ((left, "decimal(10,2)"), (right, "decimal(20,6)")))
+    return windowed_join(left, right, "user_id", "user_id", HOUR, by_tag=True).select("left_event_id", "right_event_id")
+
+
+class _Stretches(process.Processor):
+    """Numbers the stretches of equal event types that a partition goes through."""
+
+    def __init__(self, partition: int):
+        self.last, self.n = None, 0
+
+    def process(self, batch):
+        kinds = batch.column("event_type").to_pylist()
+        numbers = []
+        for kind in kinds:
+            self.n += kind != self.last
+            self.last = kind
+            numbers.append(self.n)
+        yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column("__partition"), pa.array(numbers, pa.int64())], ["event_id", "__partition", "stretch"])
+
+
+@query(TOPIC + """, m AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS begins FROM topic WINDOW w AS (PARTITION BY __partition ORDER BY __offset))
+SELECT event_id, __partition, CAST(sum(begins) OVER (PARTITION BY __partition ORDER BY __offset) AS BIGINT) AS stretch FROM m""")
+def process_by_partition(spark, d):
+    """A processor of one's own whose state depends on the order of records."""
+    t = Topology()
+    t.sink("out", t.process_in_order("stretches", t.source("events", ["events"]), _Stretches, "event_id long, __partition int, stretch long"), "out")
+    return t.run({"events": topic(spark, d)})["out"]
+
+
+PROPS = '{"type":"object","required":["k"],"properties":{"k":{"$ref":"#/$defs/count"},"note":{"type":["string","null"]},"tags":{"type":"array"}},"$defs":{"count":{"type":"integer"}}}'
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS note, '[' || event_id || ',\"x\"]' AS tags FROM events")
+def json_schema_decode(spark, d):
+    """Columns as a JSON Schema declares them: a required integer, a text or null, and an array as JSON text."""
+    tags = F.concat(F.expr("substring(cast(value as string), 1, length(cast(value as string)) - 1)"), F.lit(', "tags": ['), "event_id", F.lit(', "x"]}'))
+    return codecs.json_decode(_records(spark, d).withColumn("value", F.encode(tags, "UTF-8")), columns_of(PROPS)).select("event_id", "k", "note", "tags")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brookframe.functions.exact import INTEGRAL, RAW_TIME, WIDE, exact_cast, floor_to, raw, require
+from brookframe.functions.tagged import tagged_column
 from brookframe.sources.topics import BATCH
 
 COUNT, SUM, MIN, MAX = "count", "sum", "min", "max"
@@ -107,6 +108,14 @@ def stream_clock(df: DataFrame) -> DataFrame:
     return each.select(PARTITION, BATCH, F.max("t").over(Window.partitionBy(PARTITION).orderBy(BATCH).rowsBetween(Window.unboundedPreceding, 0)).alias("stream_time"))
 
 
+def group_by_tag(df: DataFrame, keys: list[str], aggs: list[Agg], unsigned: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`group_by` with keys that are one only if their tagged bytes are: -0.0 and 0.0 are two groups, decimals are one by value."""
+    check_groups(df, keys, False)
+    tags = {f"_tag{i}": tagged_column(df, k, unsigned) for i, k in enumerate(keys)}
+    grouped = df.withColumns(tags).groupBy(PARTITION, *tags).agg(*(F.any_value(F.col(f"`{k}`")).alias(f"_key{i}") for i, k in enumerate(keys)), *(a.partial(df).alias(a.name) for a in aggs))
+    return grouped.select(*(F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)), *(a.final(df, F.col(a.name)).alias(a.name) for a in aggs))
+
+
 def group_by(df: DataFrame, keys: list[str], aggs: list[Agg], by_batch: bool = False) -> DataFrame:
     """Groups of ``keys`` within each partition; the partition itself is only in the result if it is a key."""
     check_groups(df, keys, False)

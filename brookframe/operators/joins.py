@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brookframe.functions.exact import distance, family
+from brookframe.functions.tagged import tagged_column
 from brookframe.operators.groups import PARTITION, TIME
 from brookframe.sources.topics import BATCH, RESERVED, original_name, payload_names
 
@@ -15,10 +16,11 @@ def _meta(prefix: str, name: str) -> str:
     return f"meta of {prefix}{name}"
 
 
-def _sided(df: DataFrame, prefix: str, key: str) -> DataFrame:
+def _sided(df: DataFrame, prefix: str, key: str, by_tag: bool) -> DataFrame:
     names = {c: prefix + original_name(df, c) for c in payload_names(df)}
     meta = [c for c in (*RESERVED, BATCH) if c in df.columns]
-    return df.select(F.col(f"`{key}`").alias("k"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()), *(F.col(c).alias(_meta(prefix, c)) for c in meta))
+    own = F.col(f"`{key}`")
+    return df.select((F.when(own.isNotNull(), tagged_column(df, key)) if by_tag else own).alias("k"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()), *(F.col(c).alias(_meta(prefix, c)) for c in meta))
 
 
 def shown_names(left: DataFrame, right: DataFrame, left_prefix: str, right_prefix: str) -> list[str]:
@@ -38,7 +40,7 @@ def check_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
         raise ValueError("both sides give a column of one name; choose other prefixes")
 
 
-def windowed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, window: int, left_prefix: str = "left_", right_prefix: str = "right_", by_batch: bool = False) -> DataFrame:
+def windowed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, window: int, left_prefix: str = "left_", right_prefix: str = "right_", by_batch: bool = False, by_tag: bool = False) -> DataFrame:
     """Pairs of one partition and key whose timestamps differ by at most ``window`` ms.
 
     Columns: the left payload, the right payload (both prefixed), then the left row's metadata. Null keys and null
@@ -47,15 +49,15 @@ def windowed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     was under the stream time of both sides less the window.
 
     Rows meet by partition, key and time slice (each left row looks into its own slice and the two beside it), so a
-    hot key is split along time instead of pairing all its rows.
+    hot key is split along time instead of pairing all its rows. With ``by_tag`` keys meet by their tagged bytes.
     """
     check_join(left, right, left_key, right_key, window, left_prefix, right_prefix)
-    a, b = _sided(left, left_prefix, left_key), _sided(right, right_prefix, right_key)
+    a, b = (_sided(df, prefix, key, by_tag) for df, prefix, key in ((left, left_prefix, left_key), (right, right_prefix, right_key)))
     shown = shown_names(left, right, left_prefix, right_prefix)
     meta = [c for c in RESERVED if c in left.columns]
     lt, rt, lp, rp = _meta(left_prefix, TIME), _meta(right_prefix, TIME), _meta(left_prefix, PARTITION), _meta(right_prefix, PARTITION)
     slice_ = max(window, 1)
-    if family(left.schema[left_key].dataType) != family(right.schema[right_key].dataType):
+    if not by_tag and family(left.schema[left_key].dataType) != family(right.schema[right_key].dataType):
         a = a.filter(F.lit(False))
     beside = [-1, 0, 1] if window else [0]
     at = F.floor(F.col(lt) / slice_) if window else F.col(lt)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brookframe.functions.exact import require
-from brookframe.operators import groups, joins, rows
+from brookframe.operators import groups, joins, process, rows
 from brookframe.sources.topics import merge
 
 Step = Callable[[DataFrame], DataFrame]
@@ -54,6 +54,10 @@ class Topology:
         """A function over Arrow batches that yields any number of batches for each (none drops it)."""
         return self.apply(name, parent, lambda df: df.mapInArrow(function, schema))
 
+    def process_in_order(self, name: str, parent: Node, make: Callable, schema) -> Node:
+        """A processor of one's own for each partition, in offset order."""
+        return self.apply(name, parent, lambda df: process.process_in_order(df, make, schema))
+
     def filter(self, name: str, parent: Node, predicate: Column) -> Node:
         return self.apply(name, parent, lambda df: rows.filter_rows(df, predicate))
 
