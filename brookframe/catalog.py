@@ -17,7 +17,7 @@ from brookframe.operators.groups import COUNT, MAX, MIN, SUM, Agg, first_appeara
 from brookframe.operators.joins import windowed_join
 from brookframe.operators.json_schema import columns_of
 from brookframe.operators.rows import Derived, filter_rows, select_columns, with_derived
-from brookframe.plans import cuts, roles, runs
+from brookframe.plans import cuts, polls, roles, runs
 from brookframe.plans.topology import Topology
 from brookframe.sources import topics
 from brookframe.sources.topic_log import append_log, read_log, stream_log
@@ -816,3 +816,29 @@ def json_schema_decode(spark, d):
     """Columns as a JSON Schema declares them: a required integer, a text or null, and an array as JSON text."""
     tags = F.concat(F.expr("substring(cast(value as string), 1, length(cast(value as string)) - 1)"), F.lit(', "tags": ['), "event_id", F.lit(', "x"]}'))
     return codecs.json_decode(_records(spark, d).withColumn("value", F.encode(tags, "UTF-8")), columns_of(PROPS)).select("event_id", "k", "note", "tags")
+
+
+@query("SELECT event_id, CAST(user_id AS INTEGER) AS schema_id, CASE event_id % 3 WHEN 0 THEN '0' WHEN 1 THEN (event_id - 100) || ',' || user_id ELSE '0,0' END AS indexes, props AS body, CASE WHEN event_id % 3 = 0 THEN '00' ELSE '04' END AS begins FROM events")
+def protobuf_frames(spark, d):
+    """Frames with message indexes of one and several bytes, and read again."""
+    indexes = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(0))).when(F.col("event_id") % 3 == 1, F.array((F.col("event_id") - 100).cast("int"), F.decode("key", "UTF-8").cast("int"))).otherwise(F.array(F.lit(0), F.lit(0)))
+    framed = _records(spark, d).withColumn("value", binary.protobuf_frame(F.decode("key", "UTF-8").cast("int"), indexes, F.col("value")))
+    read = framed.select("event_id", "value", binary.unpack_protobuf_frame(F.col("value")).alias("f"))
+    return read.select("event_id", "f.schema_id", F.array_join("f.indexes", ",").alias("indexes"), F.decode("f.body", "UTF-8").alias("body"), F.hex(F.substring("value", 6, 1)).alias("begins"))
+
+
+@query(TOPIC + f""", polls AS (SELECT __partition, __batch, count(*) AS n, bool_or({BAD_JSON}) AS bad, count(*) FILTER (CAST(json_extract_string(props, '$.k') AS BIGINT) > 50) AS wanted FROM topic GROUP BY ALL)
+SELECT count(*) AS batches, CAST(sum(n) AS BIGINT) AS input_records, CAST(coalesce(sum(wanted) FILTER (NOT bad), 0) AS BIGINT) AS output_records, count(*) FILTER (bad) AS failures, CAST(coalesce(sum(n) FILTER (bad), 0) AS BIGINT) AS dead_letter_records, true AS timed FROM polls""")
+def stream_metrics(spark, d):
+    """What a stream of polls counts on its way: cut-off JSON goes to the dead letters with its poll, the rest is filtered."""
+    path, out = shared_folder(spark, "topic"), shared_folder(spark, "run")
+    rows = _records(spark, d).withColumns({"value": F.when(F.expr(BAD_JSON), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))})
+    append_log(rows.select("event_id", "key", "value", "headers", "__batch", "__partition"), path, "event_id")
+    metrics = polls.Metrics()
+    query = polls.run_polls(
+        stream_log(spark, path), lambda df: attempts.try_json(df.withColumn("raw", F.col("value")), T.StructType([T.StructField("k", T.LongType())])), lambda df: df.filter("k > 50"),
+        f"{out}/good", f"{out}/checkpoint", runs.DEAD_LETTER, f"{out}/dead", "events", metrics,
+    )
+    arrived(query)
+    got = metrics.snapshot()
+    return spark.createDataFrame([(*(got[k] for k in list(got)[:5]), got["processing_nanos"] > 0)], "batches long, input_records long, output_records long, failures long, dead_letter_records long, timed boolean")

@@ -79,6 +79,73 @@ def body(data: Column) -> Column:
     return F.substring(_framed(data), F.lit(6), F.length(data))
 
 
+def zigzag(value: Column) -> Column:
+    """A long in as few bytes as it needs: seven bits a byte, the lowest first, the sign in the lowest bit; every byte but the last has its high bit set."""
+    mixed = F.shiftleft(value.cast("long"), 1).bitwiseXOR(F.shiftright(value.cast("long"), 63))
+
+    def byte(i: int) -> Column:
+        rest = F.shiftrightunsigned(mixed, 7 * i)
+        low, more = rest.bitwiseAND(F.lit(0x7F)), F.shiftrightunsigned(rest, 7) != 0
+        data = F.unhex(F.lpad(F.hex(F.when(more, low + 0x80).otherwise(low)), 2, "0"))
+        return data if i == 0 else F.when(rest != 0, data).otherwise(F.lit(b""))
+
+    return F.concat(*(byte(i) for i in range(10)))
+
+
+def read_zigzag(data: Column, start: Column) -> Column:
+    """``value`` and ``at``, the place after it, of the :func:`zigzag` number at a 1-based place; both null if it isn't whole, or over ten bytes long."""
+    none = F.struct(F.lit(0).cast("long").alias("bits"), F.lit(None).cast("int").alias("at"), F.lit(True).alias("more"))
+
+    def step(acc: Column, i: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(data, start + i, F.lit(1))), 16, 10).cast("long")
+        bits = acc["bits"].bitwiseOR(F.call_function("shiftleft", byte.bitwiseAND(F.lit(0x7F)), i * 7))
+        last = byte < 0x80  # null past the end, which stays so
+        return F.when(acc["more"], F.struct(bits.alias("bits"), F.when(last, start + i + 1).cast("int").alias("at"), F.coalesce(~last, F.lit(False)).alias("more"))).otherwise(acc)
+
+    def whole(acc: Column) -> Column:
+        sign = F.when(acc["bits"].bitwiseAND(F.lit(1)) == 1, F.lit(-1)).otherwise(F.lit(0)).cast("long")
+        value = F.shiftrightunsigned(acc["bits"], 1).bitwiseXOR(sign)
+        return F.struct(F.when(acc["at"].isNotNull(), value).alias("value"), acc["at"].alias("at"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(9)), none, step, whole)
+
+
+def protobuf_frame(schema_id: Column, indexes: Column, body: Column) -> Column:
+    """A frame whose body follows the place of its message in the schema: how many indexes, then each; for the first message of all, a zero alone."""
+    each = F.aggregate(F.transform(indexes, zigzag), F.lit(b""), lambda a, x: F.concat(a, x))
+    place = F.when(F.size(indexes) < 1, F.raise_error(F.lit("a message has at least one index")).cast("binary")).when(indexes == F.array(F.lit(0)), F.lit(b"\0")).otherwise(F.concat(zigzag(F.size(indexes)), each))
+    return frame(schema_id, F.concat(place, body))
+
+
+def parsed_protobuf_frame(data: Column) -> Column:
+    """``schema_id, indexes, body`` of a :func:`protobuf_frame`; null for null and for bytes that aren't such a frame."""
+    size = F.length(data)
+
+    def step(acc: Column, _: Column) -> Column:
+        read = F.transform(F.array(read_zigzag(data, acc["at"])), lambda r: F.struct(r["at"].alias("at"), F.when(r["value"].between(-(1 << 31), (1 << 31) - 1), F.concat(acc["out"], F.array(r["value"].cast("int")))).alias("out")))
+        return F.when(acc["at"].isNotNull() & acc["out"].isNotNull(), F.get(read, F.lit(0))).otherwise(F.struct(F.lit(None).cast("int").alias("at"), acc["out"].alias("out")))
+
+    def listed(count: Column) -> Column:
+        none = F.struct(count["at"].alias("at"), F.array().cast("array<int>").alias("out"))
+        n = count["value"]
+        several = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), none, step)
+        first = F.struct(count["at"].alias("at"), F.array(F.lit(0)).alias("out"))
+        # an index takes a byte at least, so there aren't more of them than bytes
+        return F.when(n == 0, first).when((n > 0) & (n <= size), several)
+
+    def whole(found: Column) -> Column:
+        right = found["at"].isNotNull() & found["out"].isNotNull()
+        return F.when(right, F.struct(read_int32(data, 2).cast("int").alias("schema_id"), found["out"].alias("indexes"), F.substring(data, found["at"], size).alias("body")))
+
+    found = F.transform(F.transform(F.array(F.when(is_framed(data), read_zigzag(data, F.lit(6)))), listed), whole)
+    return F.get(found, F.lit(0))
+
+
+def unpack_protobuf_frame(data: Column) -> Column:
+    """:func:`parsed_protobuf_frame`, which raises for bytes that aren't such a frame."""
+    return F.when(data.isNotNull(), F.coalesce(parsed_protobuf_frame(data), F.raise_error(F.lit("not a frame with message indexes"))))
+
+
 def _murmur2(keys: pd.Series) -> np.ndarray:
     """32-bit murmur2 of byte strings, as topics deal keys. Keys of about one length are hashed together, so a long key doesn't widen all others."""
     data = np.array([k if k is not None else b"" for k in keys], object)

@@ -10,7 +10,7 @@ from brookframe.sources.topics import BATCH
 
 FAILURE = "__failure"
 
-FAIL, SKIP, DEAD_LETTER = "fail", "skip", "dead_letter"
+POLICIES = FAIL, SKIP, DEAD_LETTER = "fail", "skip", "dead_letter"
 
 
 def decided(records: DataFrame, policy: str = FAIL, error: str = ERROR) -> DataFrame:
@@ -20,7 +20,7 @@ def decided(records: DataFrame, policy: str = FAIL, error: str = ERROR) -> DataF
     policy, and any error does under policy fail, when the records are read. Only the few failed polls are joined to
     the records; the records themselves are not shuffled for it, as long as those polls are few.
     """
-    if policy not in (FAIL, SKIP, DEAD_LETTER):
+    if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy}")
     first = F.min(F.struct("__offset", error))
     polls = records.filter(F.col(error).isNotNull()).groupBy("__partition", BATCH).agg(first.alias("_first"))
