@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-RAW_TIME = (T.DateType, T.TimestampType, T.TimestampNTZType)
+#: Times of day need a session with spark.sql.timeType.enabled.
+RAW_TIME = (T.DateType, T.TimestampType, T.TimestampNTZType, T.TimeType)
 WIDE = T.DecimalType(38, 0)
 
 
@@ -24,14 +25,27 @@ def require(value: Column, holds: Column, message: str) -> Column:
 
 
 def raw(value: Column, kind: T.DataType) -> Column:
-    """Dates and times as the integers they are stored as (days, microseconds); other values unchanged."""
+    """Dates and times as the integers they are stored as (days, microseconds, of a time those of its day); other values unchanged."""
     if isinstance(kind, T.DateType):
         return F.unix_date(value)
+    if isinstance(kind, T.TimeType):
+        return (value.cast("decimal(14,6)") * 1_000_000).cast("long")
     if isinstance(kind, RAW_TIME):
         return F.unix_micros(value.cast("timestamp"))
     return value
 
 
+def from_raw(value: Column, kind: T.DataType) -> Column:
+    """What :func:`raw` made of a date or time; microseconds that aren't within a day raise for a time of day."""
+    if isinstance(kind, T.DateType):
+        return F.date_from_unix_date(value.cast("int"))
+    if isinstance(kind, T.TimeType):
+        micros = require(value.cast("long"), (value >= 0) & (value < 86_400_000_000), "not a time of day")
+        seconds = (F.pmod(micros, F.lit(60_000_000)).cast("decimal(16,0)") / 1_000_000).cast("decimal(16,6)")
+        return F.make_time(F.floor(micros / 3_600_000_000).cast("int"), F.pmod(F.floor(micros / 60_000_000), F.lit(60)).cast("int"), seconds)
+    return F.timestamp_micros(value.cast("long")).cast(kind)
+
+
 def exact_cast(value: Column, source: T.DataType, target: T.DataType) -> Column:
     """``value`` as ``target``; a fraction, extra decimals or a number out of range raise instead of being cut."""
     if source == target:
@@ -46,6 +60,8 @@ def exact_cast(value: Column, source: T.DataType, target: T.DataType) -> Column:
         value, source = value.cast("int"), T.IntegerType()
     if isinstance(source, RAW_TIME):
         value, source = raw(value, source), T.LongType()
+    if isinstance(target, T.TimeType):
+        return from_raw(exact_cast(value, source, T.LongType()), target)
     if isinstance(target, INTEGRAL):
         if isinstance(source, T.StringType):
             value = require(value, value.rlike(r"^[+-]?[0-9]+$"), "not an integer in base 10").cast(WIDE)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brookframe.functions.exact import INTEGRAL, RAW_TIME, WIDE, exact_cast, floor_to, raw, require
+from brookframe.functions.exact import INTEGRAL, RAW_TIME, WIDE, exact_cast, floor_to, from_raw, raw, require
 from brookframe.functions.tagged import tagged_column
 from brookframe.sources.topics import BATCH
 
@@ -67,10 +67,8 @@ class Agg:
         if self.how in (MIN, MAX):
             return value if self.kind is None else exact_cast(value, kind, self.kind)
         out = self.kind or kind
-        if isinstance(out, T.DateType):
-            return F.date_from_unix_date(value.cast("int"))
         if isinstance(out, RAW_TIME):
-            return F.timestamp_micros(value.cast("long")).cast(out)
+            return from_raw(value, out)
         if isinstance(kind, T.DecimalType) and isinstance(out, INTEGRAL):
             return exact_cast(value, kind, out)
         return value.cast(out)

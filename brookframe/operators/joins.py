@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brookframe.functions.exact import distance, family
+from brookframe.functions.exact import distance, family, raw
 from brookframe.functions.tagged import tagged_column
 from brookframe.operators.groups import PARTITION, TIME
 from brookframe.sources.topics import BATCH, RESERVED, original_name, payload_names
@@ -20,7 +20,7 @@ def _sided(df: DataFrame, prefix: str, key: str, by_tag: bool) -> DataFrame:
     names = {c: prefix + original_name(df, c) for c in payload_names(df)}
     meta = [c for c in (*RESERVED, BATCH) if c in df.columns]
     own = F.col(f"`{key}`")
-    return df.select((F.when(own.isNotNull(), tagged_column(df, key)) if by_tag else own).alias("k"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()), *(F.col(c).alias(_meta(prefix, c)) for c in meta))
+    return df.select((F.when(own.isNotNull(), tagged_column(df, key)) if by_tag else raw(own, df.schema[key].dataType)).alias("k"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()), *(F.col(c).alias(_meta(prefix, c)) for c in meta))
 
 
 def shown_names(left: DataFrame, right: DataFrame, left_prefix: str, right_prefix: str) -> list[str]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from brookframe.functions.exact import INTEGRAL, RAW_TIME, exact_cast, family, raw
+from brookframe.functions.exact import INTEGRAL, RAW_TIME, exact_cast, family, from_raw, raw
 from brookframe.operators.groups import COUNT, END, MAX, PARTITION, START, SUM, TIME, Agg, check_groups, with_window
 from brookframe.operators.joins import check_join
 from brookframe.sources.topics import BATCH, RESERVED, original_name, payload_names
@@ -145,10 +145,8 @@ class _Carried:
     def final(self, df: DataFrame) -> Column:
         value, kind = F.col(self.name).cast(self.state), self.kind
         if self.agg.how != COUNT and self.agg.how != SUM:
-            if isinstance(kind, T.DateType):
-                value = F.date_from_unix_date(value.cast("int"))
-            elif isinstance(kind, RAW_TIME):
-                value = F.timestamp_micros(value.cast("long")).cast(kind)
+            if isinstance(kind, RAW_TIME):
+                value = from_raw(value, kind)
             else:
                 value = (value.cast("int") if isinstance(kind, T.BooleanType) else value).cast(kind)
         elif isinstance(kind, T.DecimalType) and self.agg.how == SUM:

@@ -123,3 +123,27 @@ def test_processors_see_their_partition_in_order(spark, size):
     assert not process_in_order(df.limit(0), steps(), "p int, step long").collect()
     with pytest.raises(PySparkException, match="no __partition"):
         process_in_order(df.withColumn("__partition", F.lit(None).cast("int")), steps(), "p int, step long").collect()
+
+
+def test_times_of_day(spark):
+    """As raw microseconds in casts, sums and keys."""
+    from brookframe.functions.exact import exact_cast, family
+    from brookframe.operators.groups import MAX, SUM, group_by
+    from brookframe.operators.joins import windowed_join
+
+    spark.conf.set("spark.sql.timeType.enabled", "true")
+    try:
+        at = datetime.time(13, 30, 5, 123456)
+        micros = 48_605_123_456
+        df = spark.createDataFrame([(0, 0, 5, at), (0, 0, 5, datetime.time(0, 0, 1)), (0, 0, 5, None)], "__partition int, __batch long, __timestamp long, t time")
+        kind = df.schema["t"].dataType
+        casts = df.select(exact_cast(F.col("t"), kind, T.LongType()).alias("n"), exact_cast(F.col("t"), kind, T.StringType()).alias("s"), exact_cast(exact_cast(F.col("t"), kind, T.LongType()), T.LongType(), kind).alias("back")).collect()
+        assert [tuple(r) for r in casts] == [(micros, "13:30:05.123456", at), (1_000_000, "00:00:01", datetime.time(0, 0, 1)), (None, None, None)]
+        assert [tuple(r) for r in group_by(df, ["__partition"], [Agg(SUM, "t", "total"), Agg(MAX, "t", "last"), Agg(COUNT, "t", "n")]).collect()] == [(0, datetime.time(13, 30, 6, 123456), at, 3)]
+        with pytest.raises(PySparkException, match="not a time of day"):
+            group_by(df.union(df), ["__partition"], [Agg(SUM, "t", "total")]).collect()
+        assert family(kind) == "integer" and bytes(df.select(tagged(F.col("t"), kind).alias("b")).first().b) == b"i" + struct.pack(">q", micros)
+        right = df.select(exact_cast(F.col("t"), kind, T.LongType()).alias("u"), "__partition", "__batch", "__timestamp")
+        assert windowed_join(df, right, "t", "u", 0).count() == 2
+    finally:
+        spark.conf.unset("spark.sql.timeType.enabled")
