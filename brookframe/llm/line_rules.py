@@ -21,7 +21,8 @@ PHRASES = (
     "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "leer más", "iniciar sesión",
 )
 BOILERPLATE = r"(?iu)(?<!\p{L})(?:" + "|".join(PHRASES) + r")(?!\p{L})"
-LINKS = r"(?:https?://|www\.)[^\x20\x09-\x0D]+|[^\x20\x09-\x0D]+@[^\x20\x09-\x0D]+\.[^\x20\x09-\x0D]+"
+#: An address is looked for at the start of a word only, by its first @ and the first dot after it, so a long word is read once.
+LINKS = r"(?:https?://|www\.)[^\x20\x09-\x0D]+|(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D][^@\x20\x09-\x0D]*+@[^\x20\x09-\x0D][^.\x20\x09-\x0D]*+\.[^\x20\x09-\x0D]+"
 END_MARK = "[.!?:;…。！？]"
 #: In a text with end marks, a line of at least this many words has one somewhere.
 UNMARKED = 6

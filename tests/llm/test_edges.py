@@ -186,3 +186,17 @@ def test_packing_reads_special_tokens_as_the_library_does(spark):
     for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect():
         ids = [*Tokenizer.from_file(path).encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
         assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
+
+
+def test_links_are_those_of_the_plain_pattern_in_linear_time(spark):
+    import random
+    import re
+
+    plain = r"(?:https?://|www\.)[^\x20\x09-\x0D]+|[^\x20\x09-\x0D]+@[^\x20\x09-\x0D]+\.[^\x20\x09-\x0D]+"
+    rng = random.Random(6)
+    for _ in range(20_000):
+        line = "".join(rng.choices(["a", "@", ".", " ", "www.", "http://", "b\t"], [5, 3, 3, 1, 1, 1, 1], k=rng.randint(0, 12)))
+        assert [m.span() for m in re.finditer(plain, line)] == [m.span() for m in re.finditer(line_rules.LINKS, line)], line
+    texts = ["@ " + "x" * 1_000_000, "@" * 300_000, "a@" * 200_000, "a@." * 100_000, "www." * 100_000]
+    rows = line_rules.judge(spark.createDataFrame([(i, f"{TEXT}\n{t}") for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
