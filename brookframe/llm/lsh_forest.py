@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brookframe.llm.components import components
-from brookframe.llm.linking import linked, shingle_sets
+from brookframe.llm.linking import Texts, linked, shingle_sets, texts_of
 from brookframe.llm.scratch import Scratch, cut, free_name
 
 TREES, DEPTH, SHALLOWEST, REACH = 20, 10, 4, 5
@@ -142,7 +142,7 @@ def block_links(rows: DataFrame, texts: DataFrame, first: int, to: int, k: int,
     return met.join(texts.hint("merge"), "id").groupBy("bucket", "i", "j").applyInArrow(judge, schema)
 
 
-def exhausted(scratch: Scratch, members: DataFrame, named: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def exhausted(scratch: Scratch, members: DataFrame, named: DataFrame, texts: Texts, k: int, percent: int) -> DataFrame:
     """``named`` (``id, component``) after every two texts of a large region were compared or joined through others."""
     rows = members.filter(F.col("n") > SMALL).select("bucket", "id", F.ceil(F.col("n") / SIDE).cast("int").alias("blocks"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "id"), "blocks").cast("int"))
@@ -153,7 +153,7 @@ def exhausted(scratch: Scratch, members: DataFrame, named: DataFrame, texts: Dat
         at = scratch.save(at.join(open_.hint("merge"), "bucket", "left_semi"))
         if at.isEmpty():
             return named
-        needed = scratch.save(texts.join(at.select("id").distinct().hint("merge"), "id", "left_semi"))
+        needed = scratch.save(texts_of(texts, at.select("id").distinct()))
         links = scratch.save(block_links(at, needed, done, to, k, percent))
         named = components(named.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
         rows, done, to = at.select("bucket", "id", "blocks", "block"), to, 2 * to
@@ -179,8 +179,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         rows = sets.join(classes, ["doc_id", said, *key]).select("id", "signature").distinct()
         members = scratch.save(regions(rows, trees, depth, shallowest))
         pairs = scratch.save(forest_pairs(members, reach))
-        # only the texts that are asked for are joined: their ids are first looked up among the classes
-        texts = docs.select("doc_id", said, "text").join(classes.select("doc_id", said, "id").hint("merge"), ["doc_id", said]).dropDuplicates(["doc_id", said, "id"]).select("id", "text")
+
+        def texts(ids: DataFrame) -> DataFrame:
+            """Where the ids' texts stand is looked up first, so texts are dealt out once."""
+            wanted = classes.join(ids.hint("merge"), "id", "left_semi").select("doc_id", said, "id")
+            found = docs.select("doc_id", said, "text").join(wanted.hint("merge"), ["doc_id", said])
+            return found.groupBy("doc_id", said, "id").agg(F.any_value("text").alias("text")).select("id", "text")
+
         named = exhausted(scratch, members, linked(scratch, pairs, texts, k, percent), texts, k, percent)
         of_class = classes.join(named, "id", "left").select(*key, "doc_id", F.coalesce("component", "id").alias("c"))
         first = of_class.groupBy("c").agg(F.min("doc_id").alias("component"))
