@@ -309,11 +309,11 @@ def join_other_family(spark, d):
     return windowed_join(left, right.withColumn("user_id", F.col("user_id").cast("decimal(20,0)")), "user_id", "user_id", DAY).agg(F.count("*").alias("n"))
 
 
-@query(JOIN + "SELECT l.event_id AS left_event_id, r.event_id AS right_event_id FROM l JOIN r ON l.user_id = r.user_id AND l.__partition = r.__partition AND l.event_id % 2 = r.event_id % 2 AND l.event_id < 2000 AND r.event_id < 2000")
+@query(JOIN + "SELECT l.event_id AS left_event_id, r.event_id AS right_event_id FROM l JOIN r ON l.event_id // 40 = r.event_id // 40 AND l.__partition = r.__partition AND l.event_id % 2 = r.event_id % 2")
 def join_farthest_times(spark, d):
     """Times at both ends of a long: their difference doesn't overflow into a match."""
     ends = F.when(F.col("event_id") % 2 == 0, F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
-    left, right = (x.filter("event_id < 2000").withColumn("__timestamp", ends) for x in _sides(spark, d))
+    left, right = (x.withColumns({"__timestamp": ends, "user_id": F.expr("event_id div 40")}) for x in _sides(spark, d))
     return windowed_join(left, right, "user_id", "user_id", HOUR).select("left_event_id", "right_event_id")
 
 

@@ -71,8 +71,10 @@ def json_encode(rows: DataFrame, json_columns: tuple[str, ...] = ()) -> DataFram
 
 
 def pinned_schema(records: DataFrame, value: str = "value") -> T.StructType:
-    """Infers the schema once, from the first value that is not null; the caller keeps it. Without any value there is nothing to pin."""
-    texts = records.filter(F.col(value).isNotNull()).select(F.col(value).cast("string").alias("t"))
+    """Infers the schema once, from the first value that is not null, by partition and offset where records have them; the caller keeps it. Without any value there is nothing to pin."""
+    order = [c for c in ("__partition", "__offset") if c in records.columns]
+    values = records.filter(F.col(value).isNotNull())
+    texts = (values.orderBy(*order) if order else values).select(F.col(value).cast("string").alias("t"))
     if not (first := texts.head(1)):
         raise ValueError("no values to infer a schema from")
     sample = F.lit(first[0].t)
