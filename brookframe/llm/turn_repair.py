@@ -382,7 +382,7 @@ damaged AS (SELECT conv, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS r
 numbered AS (SELECT conv, turn, role, text, CASE left(role, 1) WHEN 's' THEN 's' WHEN 'u' THEN 'u' WHEN 'a' THEN 'a' ELSE 'x' END AS initial, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS n,
   CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 2 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 3 WHEN regexp_matches(text, '[^\\x20\\x09-\\x0D.!?][\\x20\\x09-\\x0D]*$') THEN 1 ELSE 0 END AS fault FROM damaged),
 faults AS (SELECT *, n > 1 AND (lag(initial) OVER w || initial) NOT IN ('su', 'ua', 'au') AS clash FROM numbered WINDOW w AS (PARTITION BY conv ORDER BY n)),
-counts AS (SELECT conv, max(n) AS n_rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 2) AS blank, count_if(fault = 3) AS duplicate, count_if(fault = 1) AS truncated, count_if(clash) AS illegal FROM faults GROUP BY conv),
+counts AS (SELECT conv, max(n) AS n_rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 2) AS blank, count(*) FILTER (WHERE fault = 3) AS duplicate, count(*) FILTER (WHERE fault = 1) AS truncated, count(*) FILTER (WHERE clash) AS illegal FROM faults GROUP BY conv),
 {_row_sql()},
 done AS (SELECT c, least(s, a, {_inserted("u", "assistant")}, {_with("y", 2 * INSERT, "II", "chr(10) || 'user:' || chr(10) || 'assistant:'")}) AS path FROM v JOIN counts ON conv IS NOT DISTINCT FROM c AND seen = n_rows)
 SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(left(path, 9)::BIGINT, 0) AS cost,
