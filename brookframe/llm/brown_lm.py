@@ -225,7 +225,8 @@ def score_texts(docs: DataFrame, training: DataFrame, k: int = CLASSES, rounds:
             n_of[row.ending], v_of[row.ending] = row.n, row.v
         at = np.searchsorted(word, units.words)
         n_of[ENDINGS + 1 :], v_of[ENDINGS + 1 :] = c[at], 1
-        n_of[ENDINGS], v_of[ENDINGS] = c[word == END].sum(), 1
+        # the end is rare where texts are few and long, so it may not be among the known words
+        n_of[ENDINGS], v_of[ENDINGS] = counts.filter(F.col("word") == is_end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0], 1
         of, m, _ = exchange(bigrams, n_of, k, rounds)
         size = np.bincount(of, n_of, minlength=k) + SMOOTH * (np.bincount(of, v_of, minlength=k) + 1)
         move = np.log10((m + SMOOTH) / (m.sum(axis=1, keepdims=True) + SMOOTH * k))

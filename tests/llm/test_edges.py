@@ -200,3 +200,10 @@ def test_links_are_those_of_the_plain_pattern_in_linear_time(spark):
     texts = ["@ " + "x" * 1_000_000, "@" * 300_000, "a@" * 200_000, "a@." * 100_000, "www." * 100_000]
     rows = line_rules.judge(spark.createDataFrame([(i, f"{TEXT}\n{t}") for i, t in enumerate(texts)], "doc_id long, text string")).collect()
     assert len(rows) == len(texts)
+
+
+def test_the_end_of_few_long_texts_has_a_probability(spark):
+    """One end in 600,000 words is under the share of known words; the model still gives it one, of at most 1."""
+    training = spark.createDataFrame([(1, "one two three four five six " * 100_000)], "doc_id long, text string")
+    row = brown_lm.score_texts(spark.createDataFrame([(2, "")], "doc_id long, text string"), training, rounds=1).first()
+    assert row.n_tokens == row.n_known == 1 and row.score <= 0
