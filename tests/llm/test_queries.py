@@ -6,7 +6,9 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -460,6 +462,29 @@ def test_op2_equals_sql(spark, sf, con):
     assert got == {r[at[0]]: (r[at[1]], r[at[2]], r[at[3]]) for r in found.fetchall()}
 
 
+def test_lines_of_any_length_have_templates(spark, sf):
+    """Long lines that differ in one field, and the whole table, against the SQL without its limit on tokens."""
+    rng = random.Random(41)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+    sizes = (38, 41, 60, 900)
+    ends = {n: (prose(n // 2), prose(n - n // 2 - 1)) for n in sizes}
+    rows = [(i * 10_000 + n, f"{prose(n + 20)}\n{ends[n][0]} {prose(1)} {ends[n][1]}\n{prose(20)}") for n in sizes for i in range(12)]
+    out = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and all(r.n_dropped == 1 and ends[r.doc_id % 10_000][0] not in r.text for r in out)
+    unlimited = line_templates.SQL.replace(f"len(tokens) <= {line_templates.LONGEST}", "true")
+    assert unlimited.count("true") == 2
+    path = f"{Path(sf).parent}/sf0.01/documents.parquet"
+    docs = spark.read.parquet(path)
+    got = {r.doc_id: (r.n_lines, r.n_dropped, hashlib.md5(r.text.encode()).hexdigest() if r.text is not None else None) for r in line_templates.drop_recurring_lines(docs).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
+    found = con.execute(unlimited).fetchall()
+    assert got == {r[0]: r[1:] for r in found}
+
+
 def test_templates_with_fields_go_and_copies_stay(spark):
     rng = random.Random(5)
 
