@@ -31,7 +31,7 @@ SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
 _SPACE = regex.compile(f"[{SPACES}]")
 _IRREGULAR = regex.compile(rf"[{SPACES}]{{2}}|(?![ \n])[{SPACES}]")
-#: Words and beginnings of words that a worker remembers, about 250 and 100 MB, and their longest.
+#: Words that a worker remembers, about 250 MB; a quarter of them for other pieces; and their longest.
 _WORDS, _REMEMBERED, _LONGEST_REMEMBERED = 1_000_000, 250_000, 64
 #: Characters of text in one Arrow batch of results, unless one text alone has more.
 _BATCH = 1 << 20
@@ -69,10 +69,12 @@ class PrefixCounts:
         encode = ByteBpe(path).encode_bytes
         # an entry that its own merges don't arrive at is never a token
         self.ids = {b: i for i, b in self.bytes_of.items() if encode(b) == [i]}
-        #: Ids of entries, and -1 for what entries end with.
-        self.ending = {data[i:]: -1 for data in self.ids for i in range(len(data))} | self.ids
+        beginnings = sorted({data[:i] for data in self.ids for i in range(len(data) + 1)}, key=len)
+        #: The beginnings of entries by number, and the entries that each of them ends with as (bytes, id), the longest first.
+        self.beginnings, self.number = beginnings, {data: i for i, data in enumerate(beginnings)}
+        self.entries = [[(len(data) - i, self.ids[data[i:]]) for i in range(len(data)) if data[i:] in self.ids] for data in beginnings]
+        self.after = _Memory(self._after, 4 * _REMEMBERED)
         self.beside = _Memory(lambda pair: self._stays(pair >> 32, pair & 0xFFFFFFFF), 2 * _REMEMBERED)
-        self.known: dict[bytes, tuple[list[int], list[int]]] = {}
         self.piece = _Memory(self._of_piece)
         self.first = _Memory(self._of_word)
         self.later = _Memory(lambda word: self._of_word(" " + word), _WORDS)
@@ -97,38 +99,29 @@ class PrefixCounts:
             else:
                 before, right = right + 1, inner_right[0]
 
+    def _after(self, step: int) -> int:
+        """The longest beginning of an entry that the bytes of another one (``step >> 8``) and a byte more end with."""
+        data = self.beginnings[step >> 8] + bytes([step & 0xFF])
+        while data not in self.number:
+            data = data[1:]
+        return self.number[data]
+
     def _of_bytes(self, data: bytes) -> list[int]:
-        """The number of tokens of the first 0, 1, 2, ... bytes of a piece. Words that begin alike share what is known of their beginning.
+        """The number of tokens of the first 0, 1, 2, ... bytes of a piece.
 
-        Of all entries that end at a place exactly one fits; the longest is tried first.
+        Of all entries that end at a place exactly one fits; the longest is tried first. All of them are ends of the
+        longest beginning of an entry that ends there, which follows from the one at the place before.
         """
-        ending, beside, known, size = self.ending, self.beside, self.known, len(data)
-        at, counts, last = 0, [0], [0]
-        if short := size <= _LONGEST_REMEMBERED:
-            if len(known) > _REMEMBERED:
-                known.clear()
-            at = size
-            while at and data[:at] not in known:
-                at -= 1
-            if at:
-                counts, last = known[data[:at]]
-                if at < size:
-                    counts, last = counts.copy(), last.copy()
-        for end in range(at + 1, size + 1):
-            start, found = end - 1, []
-            while start >= 0 and (token := ending.get(data[start:end])) is not None:
-                if token >= 0:
-                    found.append((start, token))
-                start -= 1
-            for start, token in reversed(found):
-                if not start or beside[last[start] << 32 | token]:
-                    counts.append(counts[start] + 1)
-                    last.append(token)
+        after, entries, beside, here = self.after, self.entries, self.beside, 0
+        counts, last, end = [0] * (len(data) + 1), [-1] * (len(data) + 1), 0
+        for byte in data:
+            end += 1
+            here = after[here << 8 | byte]
+            for size, token in entries[here]:
+                if (before := last[end - size]) < 0 or beside[before << 32 | token]:
+                    counts[end] = counts[end - size] + 1
+                    last[end] = token
                     break
-        if short and at < size:
-            for end in range(at + 1, size):
-                known[data[:end]] = (counts[: end + 1], last[: end + 1])
-            known[data] = (counts, last)
         return counts
 
     def _of_piece(self, piece: str) -> bytes:

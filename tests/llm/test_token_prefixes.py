@@ -62,3 +62,16 @@ def test_budgets_and_edges(spark, library):
     assert not with_prefix_counts(docs.limit(0), PATH).collect()
     with pytest.raises(ValueError):
         prefix_counts(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_candidates_are_all_entries_that_end_at_a_place():
+    """Each byte costs one step of the automaton, and what it lists there is what a search among all entries finds."""
+    counter, rng = prefix_counts(PATH), random.Random(12)
+    longest = max(map(len, counter.ids))
+    for _ in range(300):
+        data = "".join(rng.choice(PARTS) for _ in range(rng.randint(1, 12))).encode()
+        here = 0
+        for end, byte in enumerate(data, 1):
+            here = counter.after[here << 8 | byte]
+            found = [(end - i, counter.ids[data[i:end]]) for i in range(max(0, end - longest), end) if data[i:end] in counter.ids]
+            assert counter.entries[here] == found, data[:end]
