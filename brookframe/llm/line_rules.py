@@ -20,7 +20,18 @@ PHRASES = (
     "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "lire la suite", "se connecter",
     "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "leer más", "iniciar sesión",
 )
-BOILERPLATE = r"(?iu)(?<!\p{L})(?:" + "|".join(PHRASES) + r")(?!\p{L})"
+
+
+def _any_of(patterns: tuple[str, ...], depth: int = 2) -> str:
+    """An alternation in which patterns with equal first characters (plain ones, up to ``depth``) share them, so that most places fail after one."""
+    tails: dict[str, list[str]] = {}
+    for p in patterns:
+        tails.setdefault(p[0], []).append(p[1:])
+    return "|".join(a + (t[0] if len(t) == 1 else "(?:" + (_any_of(tuple(t), depth - 1) if depth > 1 else "|".join(t)) + ")") for a, t in tails.items())
+
+
+#: No phrase begins with another one, so their order doesn't matter.
+BOILERPLATE = r"(?iu)(?<!\p{L})(?:" + _any_of(PHRASES) + r")(?!\p{L})"
 #: An address is looked for at the start of a word only, by its first @ and the first dot after it, so a long word is read once.
 LINKS = r"(?:https?://|www\.)[^\x20\x09-\x0D]+|(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D][^@\x20\x09-\x0D]*+@[^\x20\x09-\x0D][^.\x20\x09-\x0D]*+\.[^\x20\x09-\x0D]+"
 END_MARK = "[.!?:;…。！？]"
@@ -34,7 +45,8 @@ KEPT_SHARE = 0.5
 
 def word_list(text: Column) -> Column:
     """Words of a text; none for null or blank texts."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
 def _covered(h: Column, window: int) -> Column:
@@ -60,8 +72,10 @@ def text_counts(docs: DataFrame, window: int = 5) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("_words", word_list(F.col("text"))).withColumn("_n_words", F.size("_words").cast("long"))
     words, n = F.col("_words"), F.col("_n_words")
-    hashes = F.slice(F.transform(words, lambda w, i: F.xxhash64(F.slice(words, i + 1, window))), F.lit(1), F.greatest(n - window + 1, F.lit(0)).cast("int"))
-    out = out.withColumn("_h", F.when(n > window, hashes))
+    out = out.withColumn("_w", F.when(n > window, F.transform(words, lambda w: F.xxhash64(w))))  # each word is hashed once, windows by these
+    following = [lambda i, k=k: F.get("_w", i + k) for k in range(1, window)]
+    hashes = F.transform(F.slice("_w", F.lit(1), F.greatest(n - window + 1, F.lit(0)).cast("int")), lambda w, i: F.xxhash64(w, *(at(i) for at in following)))
+    out = out.withColumn("_h", hashes)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumn("_lines", lines)
     repeats = F.size(F.array_distinct("_h")) < F.size("_h")
@@ -76,8 +90,10 @@ def text_counts(docs: DataFrame, window: int = 5) -> DataFrame:
 
 
 def _count(text: Column, characters: str) -> Column:
-    """How many of the text's characters are of these."""
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
+    """How many of the text's characters are of these, none of which has a meaning in a character class."""
+    if len(characters) == 1:
+        return F.char_length(text) - F.char_length(F.replace(text, F.lit(characters)))
+    return F.regexp_count(text, F.lit(f"[{characters}]"))
 
 
 def failed_line(line: Column, marked: Column) -> Column:
@@ -90,9 +106,9 @@ def failed_line(line: Column, marked: Column) -> Column:
             (symbols * 10 > words * 3)  # symbols for punctuation
             | (n["shouts"] * 10 > words * 3)
             | ((symbols >= 2) & (bars >= 2) & (bars * 2 >= words - bars - 2))  # navigation: items between bars
-            | ((words >= 5) & line.rlike(r"(?:^|\x20)([^\x20]+)(?:\x20\1){4,}(?:\x20|$)"))  # one word over and over
+            | ((words >= 5) & line.rlike(r"(?<![^\x20])([^\x20]++)(?:\x20\1){4,}(?:\x20|$)"))  # one word over and over
             | (marked & (words >= UNMARKED) & ~line.rlike(END_MARK))
-            | (line.rlike("www|http|@") & (2 * F.char_length(F.regexp_replace(line, LINKS, "")) < F.char_length(line)))  # mostly links
+            | ((line.contains("www") | line.contains("http") | line.contains("@")) & (2 * F.char_length(F.regexp_replace(line, LINKS, "")) < F.char_length(line)))  # mostly links
             | (line.rlike(BOILERPLATE) & (F.regexp_count(line, F.lit(BOILERPLATE)) * PER_PHRASE >= words))
         )
 
@@ -112,7 +128,8 @@ def clean_lines(docs: DataFrame, share: float = KEPT_SHARE, least_words: int = 1
     out = out.withColumn("cleaned", F.array_join("_kept_lines", "\n")).drop("_kept_lines", "_marked")
     size, left = F.char_length(text), F.char_length("cleaned")
     out = out.withColumn("_lost", F.when(size > 0, 1 - left / size).otherwise(F.lit(0.0)))
-    enough = F.regexp_count("cleaned", F.lit(WORD)) >= least_words
+    # the pattern stops at the last word that is needed
+    enough = F.col("cleaned").rlike(rf"^(?:[\x20\x09-\x0D]*+{WORD}+){{{least_words}}}") if 0 < least_words <= 100 else F.regexp_count("cleaned", F.lit(WORD)) >= least_words
     return out.withColumn("_passed", enough & (F.col("_lost") <= 1 - share))
 
 

@@ -207,3 +207,25 @@ def test_the_end_of_few_long_texts_has_a_probability(spark):
     training = spark.createDataFrame([(1, "one two three four five six " * 100_000)], "doc_id long, text string")
     row = brown_lm.score_texts(spark.createDataFrame([(2, "")], "doc_id long, text string"), training, rounds=1).first()
     assert row.n_tokens == row.n_known == 1 and row.score <= 0
+
+
+def test_line_rules_share_the_work_of_phrases_and_words(spark):
+    """Phrases are found as by one alternative each, words are counted as by a search, and no word is hashed once a window."""
+    plain = line_rules.BOILERPLATE.index("(?:")
+    apart = line_rules.BOILERPLATE[:plain] + "(?:" + "|".join(line_rules.PHRASES) + r")(?!\p{L})"
+    assert apart != line_rules.BOILERPLATE
+    texts = [x for p in line_rules.PHRASES for q in (p.replace("[sc]", "s").replace(" ?", "").replace("(?:use|service)", "use").replace("(?:this|on)", "on"),) for x in (q, q.upper(), f"x{q}", f"{q}x", f"-{q}, {q}.", q[:-1])]
+    texts += ["", " ", "\n\t", " a  b\x0b", "\x1fa\u00a0b c", "a \r\n b", "copyriGHT \u017fign up", "#*$%&|<> !!", "a a a a a a\r", "a a a a", "b aa a a a a a"] + [" ".join("w" * n) for n in (9, 10, 11)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = F.col("text")
+    counted = line_rules.clean_lines(line_rules.text_counts(df)).select(
+        "*", F.regexp_count(t, F.lit(line_rules.BOILERPLATE)).alias("found"), F.regexp_count(t, F.lit(apart)).alias("apart"),
+        F.regexp_count(t, F.lit(line_rules.WORD)).alias("words"), (F.regexp_count("cleaned", F.lit(line_rules.WORD)) >= 10).alias("enough"), line_rules._count(t, line_rules.SYMBOLS).alias("symbols"),
+    )
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(slice(" not in plan
+    rows = counted.collect()
+    assert len(rows) == len(texts) and sum(r.found for r in rows) > 4 * len(line_rules.PHRASES)
+    for r in rows:
+        assert r.found == r.apart and r._n_words == r.words and r._word_chars == len("".join(x for x in r.text if x not in " \t\n\x0b\x0c\r")), r.text
+        assert r.symbols == r._n_symbols == sum(c in line_rules.SYMBOLS for c in r.text) and r._passed == (r.enough and r._lost <= 0.5), r.text
