@@ -359,6 +359,44 @@ def test_exchange_gains_are_exact_changes():
             assert gains[u, b] == pytest.approx(brown_lm._likelihood(counts(moved)) - brown_lm._likelihood(counts(of)), abs=1e-8)
 
 
+def test_bigrams_are_one_row_a_unit_and_no_round_shuffles_them(spark):
+    rng = random.Random(72)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(40))) for _ in range(200)] + [None, "a a a"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    hashes = {x: brown_lm.Words(np.frombuffer(x.encode(), np.uint8), np.array([0, 1])).hash[0] for x in "abcdef"}
+    units = brown_lm._Units(np.sort(np.array(list(hashes.values()), np.uint64)))
+    number = {x: brown_lm.ENDINGS + 1 + int(np.searchsorted(units.words, h)) for x, h in hashes.items()}
+    want = collections.Counter()
+    for t in texts:
+        at = brown_lm.ENDINGS
+        for w in [*(t or "").split(), None]:
+            byte = ord(w) if w else 0
+            to = brown_lm.ENDINGS if w is None else number.get(w, byte * 7919 % brown_lm.ENDINGS)
+            want[at, to] += 1
+            at = to
+    for parts, held in ((brown_lm.PARTS, brown_lm.HELD), (3, 50)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(brown_lm, "PARTS", parts)
+            m.setattr(brown_lm, "HELD", held)
+            bigrams = brown_lm.unit_bigrams(df, units)
+            rows = bigrams.collect()
+        assert len(rows) == len({r.unit for r in rows})
+        for other, n, turn in (("after", "n_after", 1), ("before", "n_before", -1)):
+            got = {(r.unit, int(x))[::turn]: int(c) for r in rows for x, c in zip(np.frombuffer(r[other], np.int32), np.frombuffer(r[n], np.int64), strict=True)}
+            assert got == want
+    k, kept = 4, bigrams.localCheckpoint()
+    of = np.arange(len(units)) % (k - 1) + 1
+    of[brown_lm.ENDINGS] = 0
+    counts = brown_lm._class_bigrams(kept, of, k)
+    assert counts.sum() == sum(want.values()) and counts[0, 0] == want[brown_lm.ENDINGS, brown_lm.ENDINGS]
+    unit, to = brown_lm._moves(kept, of, counts)
+    assert len(unit)
+    for u, c in zip(unit.tolist(), to.tolist()):
+        moved = of.copy()
+        moved[u] = c
+        assert brown_lm._likelihood(brown_lm._class_bigrams(kept, moved, k)) > brown_lm._likelihood(counts)
+
+
 def test_exchange_finds_the_classes_that_made_the_text(spark):
     """Words of three kinds follow each other by rules; they end up in classes of one kind each, and every round raises the likelihood."""
     rng = random.Random(71)
