@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from brookframe.llm.scratch import cut
 
+#: So many links at most go through rounds in one partition, without shuffles; more are dealt over all tasks.
+LINKS = 1 << 15
 
-def _least(edges: DataFrame) -> DataFrame:
-    """Each node's least neighbour or itself. A sum by key: what a hub has is combined before the shuffle."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+
+def _with_least(edges: DataFrame, few: bool) -> DataFrame:
+    """The edges and each node's least neighbour or itself. A sum by key: what a hub has is combined before the shuffle."""
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return edges.join(F.broadcast(least) if few else least, "u")
 
 
 def _size(edges: DataFrame) -> tuple:
@@ -21,16 +25,22 @@ def _size(edges: DataFrame) -> tuple:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component`` (the least id it is linked with, directly or not) for each id other than its component's least.
 
-    Each round is two shuffles of the links that are left; nothing is gathered on the driver but three numbers.
+    Each round is a few shuffles of the links that are left, or one task where these are at most ``LINKS``; nothing is
+    gathered on the driver but three numbers.
     Null ends and self links are ignored; without links the result is empty.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct())
     size = _size(edges)
+    if 0 < size[0] <= LINKS:
+        edges = cut(edges.coalesce(1))
     while size[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        few = size[0] <= LINKS
+        if few:
+            edges = edges.coalesce(1)
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        large = _with_least(both, few).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
-        small = large.join(_least(large), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = _with_least(large, few).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = cut(small.filter("u <> v").distinct())
         now = _size(edges)
         if now == size:

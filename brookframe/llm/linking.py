@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +14,6 @@ from brookframe.llm.scratch import Scratch
 from brookframe.llm.words import Words, blocks
 
 
-#: ``id, text``, or what gives them for a table of ids.
-Texts = DataFrame | Callable[[DataFrame], DataFrame]
-
-
 def shingle_sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for _, _, data, offsets in blocks(text):
@@ -53,19 +49,18 @@ def _renamed(pairs: DataFrame, named: DataFrame) -> DataFrame:
     return pairs.select("a", "b", F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"))
 
 
-def texts_of(texts: Texts, ids: DataFrame) -> DataFrame:
-    """``id, text`` of the ids in a table. They grow with the corpus, so they are never broadcast."""
-    return texts(ids) if callable(texts) else texts.join(ids.hint("merge"), "id", "left_semi")
+def as_links(named: DataFrame) -> DataFrame:
+    return named.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
-def linked(scratch: Scratch, pairs: DataFrame, texts: Texts, k: int, percent: int) -> DataFrame:
+def linked(scratch: Scratch, pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """``id, component`` of the texts that candidate pairs ``a < b`` link, ``component`` being the least id.
 
     Only the components matter, so a pair is confirmed unless its ends are already joined by confirmed links: first
     each text's least partner, then one pair for each two components that are left, then all pairs still between
-    different components. The result equals confirming every candidate.
+    different components. The result equals confirming every candidate. ``texts`` is a table ``id, text`` that is cheap to
+    read again, with those of the pairs and few others. It grows with the corpus, so it is never broadcast.
     """
-    texts = scratch.save(texts_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     asked = scratch.save(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = scratch.save(confirm(asked, texts, k, percent))
     named = components(links)
@@ -74,11 +69,9 @@ def linked(scratch: Scratch, pairs: DataFrame, texts: Texts, k: int, percent: in
         return named
     again = left.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
     more = scratch.save(confirm(again, texts, k, percent))
-    every = links.unionByName(more)
-    named = components(every)
+    named = components(as_links(named).unionByName(more))
     rest = scratch.save(_renamed(left.select("a", "b").join(again, ["a", "b"], "left_anti"), named))
     if rest.isEmpty():
         return named
-    last = confirm(rest, texts, k, percent)
-    return components(every.unionByName(last))
+    return components(as_links(named).unionByName(confirm(rest, texts, k, percent)))
 

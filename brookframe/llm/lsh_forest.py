@@ -7,7 +7,7 @@ tree share the first ``shallowest`` values are a region of it. All texts of a re
 - in larger ones first with the ``reach`` rows before it in the sorted order of the labels (where many share a prefix
   these share the deepest, so the depth follows the data), which joins most of a group of copies;
 - then larger regions that still hold texts of different components are split into blocks of about ``SIDE`` texts, and
-  the first 1, 2, 4, ... blocks are compared with all others, until a region is one component or all of it is compared.
+  the first 1, 4, 16, ... blocks are compared with all others, until a region is one component or all of it is compared.
 
 Links are confirmed on full shingle sets. Two linked texts at similarity 0.8 share a region in at least one tree with
 probability 1 - (1 - 0.8 ** shallowest) ** trees (0.99997 by default), and links of a group join through each other.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brookframe.llm.components import components
-from brookframe.llm.linking import Texts, linked, shingle_sets, texts_of
+from brookframe.llm.linking import as_links, linked, shingle_sets
 from brookframe.llm.scratch import Scratch, cut, free_name
 
 TREES, DEPTH, SHALLOWEST, REACH = 20, 10, 4, 5
@@ -142,7 +142,7 @@ def block_links(rows: DataFrame, texts: DataFrame, first: int, to: int, k: int,
     return met.join(texts.hint("merge"), "id").groupBy("bucket", "i", "j").applyInArrow(judge, schema)
 
 
-def exhausted(scratch: Scratch, members: DataFrame, named: DataFrame, texts: Texts, k: int, percent: int) -> DataFrame:
+def exhausted(scratch: Scratch, members: DataFrame, named: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """``named`` (``id, component``) after every two texts of a large region were compared or joined through others."""
     rows = members.filter(F.col("n") > SMALL).select("bucket", "id", F.ceil(F.col("n") / SIDE).cast("int").alias("blocks"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "id"), "blocks").cast("int"))
@@ -153,10 +153,10 @@ def exhausted(scratch: Scratch, members: DataFrame, named: DataFrame, texts: Tex
         at = scratch.save(at.join(open_.hint("merge"), "bucket", "left_semi"))
         if at.isEmpty():
             return named
-        needed = scratch.save(texts_of(texts, at.select("id").distinct()))
-        links = scratch.save(block_links(at, needed, done, to, k, percent))
-        named = components(named.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
-        rows, done, to = at.select("bucket", "id", "blocks", "block"), to, 2 * to
+        if not done:  # later rounds ask for some of the first one's texts
+            texts = scratch.save(texts.join(at.select("id").distinct().hint("merge"), "id", "left_semi"))
+        named = components(as_links(named).unionByName(block_links(at, texts, done, to, k, percent)))
+        rows, done, to = at.select("bucket", "id", "blocks", "block"), to, 4 * to
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, shallowest: int = SHALLOWEST, reach: int = REACH, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -174,18 +174,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         docs = docs.withColumn(said, F.xxhash64("text"))
         sets = scratch.save(signatures(docs, k, trees, depth, (*keep, said)))
         key = ["n", "f1", "f2"]
-        least = sets.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min(F.struct("doc_id", said)).alias("least"))
-        classes = scratch.save(least.select(*key, "least.doc_id", f"least.{said}", F.monotonically_increasing_id().alias("id")))
-        rows = sets.join(classes, ["doc_id", said, *key]).select("id", "signature").distinct()
-        members = scratch.save(regions(rows, trees, depth, shallowest))
+        least = sets.filter("n > 0 and doc_id is not null").groupBy(*key).agg(F.min(F.struct("doc_id", said)).alias("least"), F.any_value("signature").alias("signature"))
+        classes = scratch.save(least.select(*key, "least.doc_id", f"least.{said}", F.monotonically_increasing_id().alias("id"), "signature"))
+        members = scratch.save(regions(classes, trees, depth, shallowest))
         pairs = scratch.save(forest_pairs(members, reach))
-
-        def texts(ids: DataFrame) -> DataFrame:
-            """Where the ids' texts stand is looked up first, so texts are dealt out once."""
-            wanted = classes.join(ids.hint("merge"), "id", "left_semi").select("doc_id", said, "id")
-            found = docs.select("doc_id", said, "text").join(wanted.hint("merge"), ["doc_id", said])
-            return found.groupBy("doc_id", said, "id").agg(F.any_value("text").alias("text")).select("id", "text")
-
+        # where the texts stand is looked up first, so texts are dealt out once
+        wanted = classes.join(members.select("id").distinct().hint("merge"), "id", "left_semi").select("doc_id", said, "id")
+        found = docs.select("doc_id", said, "text").join(wanted.hint("merge"), ["doc_id", said])
+        texts = scratch.save(found.groupBy("doc_id", said, "id").agg(F.any_value("text").alias("text")).select("id", "text"))
         named = exhausted(scratch, members, linked(scratch, pairs, texts, k, percent), texts, k, percent)
         of_class = classes.join(named, "id", "left").select(*key, "doc_id", F.coalesce("component", "id").alias("c"))
         first = of_class.groupBy("c").agg(F.min("doc_id").alias("component"))

@@ -140,6 +140,34 @@ def test_components(spark):
     assert {r.id: r.component for r in got} == want
 
 
+def test_rounds_over_few_links_stay_in_one_partition(spark):
+    links = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(50)]
+    want = {i: 0 for i in range(1, 201)} | {1001 + i: 1000 for i in range(50)}
+    df = spark.createDataFrame(links, "a long, b long")
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    tasks = {}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for most in (components.LINKS, 100):
+            group = f"links-{most}"
+            spark.sparkContext.setJobGroup(group, group)
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(components, "LINKS", most)
+                got = components.components(df).collect()
+            assert {r.id: r.component for r in got} == want
+            tracker = spark.sparkContext.statusTracker()
+            stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+            tasks[most] = sum(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # the links are dealt out once; by rounds that shuffle it is a few thousand tasks
+    assert 0 < tasks[components.LINKS] < 500 < tasks[100]
+
+
 def test_op7_round_trip(spark, sf, docs):
     rows = Q["op7_complement_packing"](spark, sf).toPandas().sort_values(["doc_id", "piece"])
     encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
