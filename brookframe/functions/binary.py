@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -14,13 +16,13 @@ HEADER = "struct<key:string,value:binary>"
 
 def int32(value: Column) -> Column:
     """Four bytes, most significant first."""
-    return F.unhex(F.lpad(F.hex(F.when(value < 0, value.cast("long") + (1 << 32)).otherwise(value.cast("long"))), 8, "0"))
+    return F.unhex(F.lpad(F.hex(value.cast("long").bitwiseAND(F.lit((1 << 32) - 1))), 8, "0"))
 
 
 def read_int32(data: Column, start: Column | int) -> Column:
     """The signed integer at a 1-based place."""
     number = F.conv(F.hex(F.substring(data, start, 4)), 16, 10).cast("long")
-    return F.when(number >= 1 << 31, number - (1 << 32)).otherwise(number)
+    return F.pmod(number + (1 << 31), F.lit(1 << 32)) - (1 << 31)
 
 
 def pack_headers(headers: Column) -> Column:
@@ -34,28 +36,47 @@ def pack_headers(headers: Column) -> Column:
     return F.concat(int32(F.size(headers)), F.aggregate(F.transform(headers, one), F.lit(b""), lambda a, x: F.concat(a, x)))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row; as an expression it would be computed wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unpack_headers(data: Column) -> Column:
     """The array of (key, value) that :func:`pack_headers` packed; null stays null, and bytes that aren't such headers raise."""
-    return F.when(data.isNotNull(), F.coalesce(parsed_headers(data), F.raise_error(F.lit("not packed headers"))))
+    return _once(data, lambda d: F.when(d.isNotNull(), F.coalesce(_parsed_headers(d), F.raise_error(F.lit("not packed headers")))))
 
 
 def parsed_headers(data: Column) -> Column:
     """The array that :func:`pack_headers` packed; null for null and for bytes that aren't such headers."""
-    n, size = read_int32(data, 1), F.length(data)
+    return _once(data, _parsed_headers)
+
+
+def _parsed_headers(data: Column) -> Column:
+    size = F.length(data)
 
     def step(acc: Column, _: Column) -> Column:
-        key = read_int32(data, acc["at"])
-        value = read_int32(data, acc["at"] + 4 + key.cast("int"))
-        start = acc["at"] + 8 + key.cast("int")
-        found = F.struct(F.decode(F.substring(data, acc["at"] + 4, key.cast("int")), "UTF-8").alias("key"), F.when(value >= 0, F.substring(data, start, value.cast("int"))).alias("value"))
-        after = start + F.greatest(value, F.lit(0)).cast("int")
-        right = acc["right"] & F.coalesce((key >= 0) & (value >= -1) & (after <= size + 1), F.lit(False))
-        return F.when(right, F.struct(after.alias("at"), right.alias("right"), F.concat(acc["out"], F.array(found)).alias("out"))).otherwise(F.struct(acc["at"].alias("at"), F.lit(False).alias("right"), acc["out"].alias("out")))
-
-    none = F.struct(F.lit(5).alias("at"), F.lit(True).alias("right"), F.array().cast(f"array<{HEADER}>").alias("out"))
-    walk = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), none, step)
-    counted = F.coalesce((size >= 4) & (n >= 0) & (n <= F.floor((size - 4) / 8) + 1), F.lit(False))
-    return F.get(F.transform(F.array(F.when(counted, walk)), lambda w: F.when(w["right"] & (w["at"] == size + 1), w["out"])), F.lit(0))
+        def with_value(key: Column, value: Column) -> Column:
+            start = acc["at"] + 8 + key.cast("int")
+            after = start + F.greatest(value, F.lit(0)).cast("int")
+            found = F.struct(F.decode(F.substring(data, acc["at"] + 4, key.cast("int")), "UTF-8").alias("key"), F.when(value >= 0, F.substring(data, start, value.cast("int"))).alias("value"))
+            more = F.struct(after.alias("at"), F.lit(True).alias("right"), F.concat(acc["out"], F.array(found)).alias("out"))
+            # a length is null past the end, and one that no headers have is not added to a place
+            return F.when(F.coalesce(value.between(-1, size), F.lit(False)) & (after <= size + 1), more).otherwise(wrong)
+
+        def with_key(key: Column) -> Column:
+            value = F.when(key.between(0, size), read_int32(data, acc["at"] + 4 + key.cast("int")))
+            return _once(value, lambda v: with_value(key, v))
+
+        wrong = F.struct(acc["at"].alias("at"), F.lit(False).alias("right"), acc["out"].alias("out"))
+        return F.when(acc["right"], _once(read_int32(data, acc["at"]), with_key)).otherwise(wrong)
+
+    def walked(n: Column) -> Column:
+        none = F.struct(F.lit(5).alias("at"), F.lit(True).alias("right"), F.array().cast(f"array<{HEADER}>").alias("out"))
+        walk = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), none, step)
+        counted = F.coalesce((size >= 4) & (n >= 0) & (n <= F.floor((size - 4) / 8) + 1), F.lit(False))
+        return _once(F.when(counted, walk), lambda w: F.when(w["right"] & (w["at"] == size + 1), w["out"]))
+
+    return _once(read_int32(data, 1), walked)
 
 
 def frame(schema_id: Column, body: Column) -> Column:

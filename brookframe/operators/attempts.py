@@ -60,9 +60,9 @@ def try_json(records: DataFrame, schema: T.StructType, value: str = "value") ->
 
 def try_headers(records: DataFrame, packed: str = "__headers", to: str = "headers") -> DataFrame:
     """Packed headers as an array of (key, value)."""
-    parsed = binary.parsed_headers(F.col(packed))
-    error = F.when(F.col(packed).isNotNull() & parsed.isNull(), failure(MALFORMED, "not packed headers"))
-    return _decoded(records, error, {to: parsed})
+    rows = records.withColumn("_parsed", binary.parsed_headers(F.col(packed)))
+    error = F.when(F.col(packed).isNotNull() & F.col("_parsed").isNull(), failure(MALFORMED, "not packed headers"))
+    return _decoded(rows, error, {to: F.col("_parsed")}).drop("_parsed")
 
 
 def try_frame(records: DataFrame, known: list[int] | DataFrame, value: str = "value") -> DataFrame:
