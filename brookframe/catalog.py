@@ -474,9 +474,10 @@ def dead_letter_decode(spark, d):
     packed = binary.pack_headers(F.col("headers"))
     cut_off = {"value": F.when(F.expr(BAD_JSON), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value")), "__headers": F.when(F.expr(BAD_HEADERS), F.substring(packed, F.lit(1), F.length(packed) - 1)).otherwise(packed)}
     records = _records(spark, d).withColumns(cut_off).drop("headers").withColumn("raw", F.col("value"))
-    tried = attempts.try_json(attempts.try_headers(records), T.StructType([T.StructField("k", T.LongType(), False)]))
+    # a record that is bad both ways has failed by its JSON, and keeps the headers that it came with if they can be read
+    tried = attempts.try_headers(attempts.try_json(records, T.StructType([T.StructField("k", T.LongType(), False)])))
     _, lost = runs.outcome(tried, runs.DEAD_LETTER)
-    letters = runs.dead_letters(lost, "events")
+    letters = runs.dead_letters(lost.withColumn("headers", F.coalesce("headers", binary.parsed_headers(F.col("__headers")))), "events")
     told = lambda back: F.decode(F.element_at("headers", -back)["value"], "UTF-8")
     first = F.min(F.when(F.expr(f"{BAD_JSON} or {BAD_HEADERS}"), F.col("event_id"))).over(Window.partitionBy("__partition", "__batch"))
     return letters.select("event_id", F.decode("raw", "UTF-8").alias("value"), first.alias("first_bad"), F.concat(told(5), F.lit(": "), told(4)).alias("error"), F.concat_ws("/", told(3), told(2), told(1)).alias("source"))
