@@ -85,19 +85,24 @@ def check_groups(df: DataFrame, keys: list[str], windowed: bool) -> None:
         raise ValueError(f"windows need {TIME}")
 
 
-def _emit(df: DataFrame, partials: DataFrame, by: list[str], aggs: list[Agg], clock: DataFrame, retention: int | None) -> DataFrame:
+def _emit(df: DataFrame, partials: DataFrame, by: list[str], aggs: list[Agg], clock: DataFrame, kept: DataFrame) -> DataFrame:
     """Running aggregates of the groups at each batch of their partition from their first on, while retained.
 
-    The grid of groups and batches is what is emitted anyway; counts by batch are laid on it and summed along.
+    ``kept`` says how many of its partition's batches, from the first of all, retain a group. A row stands for the
+    batches from its own up to its group's next or the end of retention. They are laid out last and not shuffled, so
+    disk goes by the partial aggregates, however many batches emit them again. The clock is broadcast.
     """
-    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"p.{c}")) for c in by]
-    grid = partials.groupBy(*by).agg(F.min(BATCH).alias("first")).alias("g").join(clock.alias("c"), (F.col(f"g.{PARTITION}") == F.col(f"c.{PARTITION}")) & (F.col(f"c.{BATCH}") >= F.col("first")))
-    if retention is not None:
-        grid = grid.filter(F.col(END) >= F.col("stream_time") - retention)
-    grid = grid.select("g.*", F.col(f"c.{BATCH}").alias(BATCH)).drop("first").alias("g")
-    laid = grid.join(partials.alias("p"), [*same, F.col(f"g.{BATCH}") == F.col(f"p.{BATCH}")], "left").select("g.*", *(f"p.{a.name}" for a in aggs))
-    along = Window.partitionBy(*by).orderBy(BATCH).rowsBetween(Window.unboundedPreceding, 0)
-    return laid.select(*by, BATCH, *(a.final(df, a.merged(F.col(a.name)).over(along)).alias(a.name) for a in aggs))
+    numbered = clock.select(PARTITION, BATCH, (F.row_number().over(Window.partitionBy(PARTITION).orderBy(BATCH)) - 1).alias("__place"))
+    placed = partials.join(F.broadcast(numbered), [PARTITION, BATCH]).join(kept, [c for c in kept.columns if c != "__kept"]).filter(F.col("__place") < F.col("__kept"))
+    # by number, as tasks of few bytes, which would be put together, can lay out many rows
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    along = Window.partitionBy(*by).orderBy("__place")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    running = placed.repartition(tasks, *by).select(
+        *by, "__place", F.least(F.lead("__place").over(along), F.col("__kept")).alias("__until"), *(a.final(df, a.merged(F.col(a.name)).over(so_far)).alias(a.name) for a in aggs)
+    )
+    laid = running.withColumn("__place", F.explode(F.sequence("__place", F.col("__until") - 1)))
+    return laid.join(F.broadcast(numbered), [PARTITION, "__place"]).select(*by, BATCH, *(a.name for a in aggs))
 
 
 def stream_clock(df: DataFrame) -> DataFrame:
@@ -122,7 +127,8 @@ def group_by(df: DataFrame, keys: list[str], aggs: list[Agg], by_batch: bool = F
     if by_batch:
         partials = df.groupBy(*by, BATCH).agg(*(a.partial(df).alias(a.name) for a in aggs))
         clock = df.select(PARTITION, BATCH).distinct()
-        return _emit(df, partials, by, aggs, clock, None).select(BATCH, *out)
+        kept = F.broadcast(clock.groupBy(PARTITION).agg(F.count("*").cast("int").alias("__kept")))
+        return _emit(df, partials, by, aggs, clock, kept).select(BATCH, *out)
     grouped = df.groupBy(*by).agg(*(a.partial(df).alias(a.name) for a in aggs))
     return grouped.select(*keys, *(a.final(df, F.col(a.name)).alias(a.name) for a in aggs))
 
@@ -157,5 +163,9 @@ def windowed_group_by(df: DataFrame, keys: list[str], size: int, aggs: list[Agg]
         return kept.select(*keys, START, END, *(a.final(df, F.col(a.name)).alias(a.name) for a in aggs))
     clock = stream_clock(df)
     partials = rows.groupBy(*by, BATCH).agg(*(a.partial(df).alias(a.name) for a in aggs))
-    accepted = partials.join(clock, [PARTITION, BATCH]).filter(F.col(END) >= F.col("stream_time") - retention).drop("stream_time")
-    return _emit(df, accepted, by, aggs, clock, retention).select(BATCH, *out)
+    # stream time never falls, so the batches that retain a window are the first ones, as many as have their cutoff up to its end
+    cutoffs = clock.select(PARTITION, (F.col("stream_time") - retention).alias("at"), F.lit(None).cast("long").alias(END))
+    ends = rows.select(PARTITION, F.col(END).alias("at"), END).distinct()
+    up_to = Window.partitionBy(PARTITION).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = cutoffs.unionByName(ends).withColumn("__kept", F.count_if(F.col(END).isNull()).over(up_to).cast("int")).filter(F.col(END).isNotNull()).select(PARTITION, END, "__kept")
+    return _emit(df, partials, by, aggs, clock, kept).select(BATCH, *out)
